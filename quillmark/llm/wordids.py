@@ -9,8 +9,8 @@ control characters, special-token strings) through its whole ``encode``.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -21,7 +21,42 @@ _NUMERIC = "²³¹¼½¾"
 _PIECE = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{_NUMERIC}]+|[\d{_NUMERIC}]|(?:[^\s\w]|_)+"
 )
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Chunks and words of one cache generation, and the longest that is kept.
+CACHE_CHUNKS, CACHE_WORDS, CACHE_CHARS = 300_000, 200_000, 40
+
+
+class TwoGenerations(dict):
+    """A bounded cache: a full generation becomes the old one, and what is used again moves back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+
+class Words(TwoGenerations):
+    """Lower-case words and runs of marks, by the merge model alone."""
+
+    def __init__(self, model):
+        super().__init__(CACHE_WORDS)
+        self.model, self.alphabet = model, _byte_alphabet()
+
+    def make(self, key: str) -> bytes:
+        spelled = key.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -31,34 +66,23 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class WordIds(dict):
+class WordIds(TwoGenerations):
     """A cache from chunk to its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHE_CHUNKS)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.alphabet = _byte_alphabet()
+        self.words = Words(self.tokenizer.model)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            ids = [
-                t.id
-                for p in _PIECE.findall(chunk.lower())
-                for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))
-            ]
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = out
-        return out
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
+
+    def make(self, key: str) -> bytes:
+        if _PLAIN.fullmatch(key) and not self.special.search(key):
+            return b"".join(map(self.words.__getitem__, _PIECE.findall(key.lower())))
+        return array("I", self.tokenizer.encode(key, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -67,6 +91,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian 32-bit integers")
+
 _loaded: dict[str, WordIds] = {}
 
 
