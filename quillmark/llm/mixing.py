@@ -101,3 +101,23 @@ def mix(
     part = F.when(F.col("share") >= 1, F.col("size")).when(F.col("share") <= 0, F.lit(0)).otherwise(part)
     taken = F.least(F.col("whole") * F.col("size") + part, F.lit(max_epochs) * F.col("size"))
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mixed rows, with all columns of ``docs``: whole repetitions, then the first words of a part.
+
+    A part keeps its text up to the end of its last taken word.  Repeated rows share their id's
+    share of words: each is repeated as the first of them is.
+    """
+    mixed = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    mixed = common.written(mixed.groupBy("_id", "_size").agg(F.max("_taken").alias("_taken")), "mixed")
+    joined = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size")))
+    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
+    part = (F.col("_taken") - whole * F.col("_size")).cast("int")
+    joined = joined.withColumn("_whole", whole).withColumn("_part", part)
+    copies = joined.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_whole"))))
+    copies = copies.where((F.col("_turn") < F.col("_whole")) | (F.col("_part") > 0))
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    short = F.array_join(F.slice(words, F.lit(1), F.col("_part")), "")
+    text = F.when(F.col("_turn") < F.col("_whole"), F.col("text")).otherwise(short)
+    return copies.withColumn("text", text).select(*docs.columns)

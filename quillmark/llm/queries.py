@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, merkle, mixing, packing, token_files, url_filter
+from . import common, media, merkle, mixing, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(common.table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -35,12 +39,24 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(common.table(spark, sf_dir, "pages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.new_path(spark, "token-files")
     manifest = token_files.write_token_files(common.table(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=1)
     return token_files.read_token_files(manifest)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
@@ -53,9 +69,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing,
+        op2_substring_dedup,
         op3_media,
         op4_url_filter,
+        op5_near_dedup,
         op6_token_files,
+        op7_toxicity,
+        op8_quality,
         op9_mixing,
         op10_merkle,
     )
