@@ -2,11 +2,12 @@
 
 Candidates of a bucket are never all its pairs.  Members are first compared with the bucket's
 smallest member, one bucket a member, then all buckets between still separate components.  What
-stays separate in a bucket is compared exactly: each round takes members of all components but the
-bucket's largest (at most about ``PIVOTS`` of them) and compares them with every member of other
-components, until no untested pair of different components shares a bucket.  So components are those
-of all confirmed links between members of a common bucket, while a tight group of any size costs a
-few comparisons a member.
+stays separate in a bucket is compared by sketches inside the join: each round takes members of all
+components but the bucket's largest (at most about ``PIVOTS`` of them) and matches them with the
+members of other components; only pairs whose sketches may belong to a link come out and are
+confirmed.  Rounds end when no untested pair of different components shares a bucket.  So components
+are those of all confirmed links between members of a common bucket, while a tight group of any
+size costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, written
 from .components import components
 
-PIVOTS = 32
+PIVOTS = 4096
 
 
 class MinMax:
@@ -39,8 +40,8 @@ class MinMax:
         self.mix = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
         self.salt = draw.integers(0, 1 << 63, bands, dtype=np.uint64)
 
-    def keys(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Band keys (sets x bands, int64) of the sets that begin at ``starts`` in ``hashes`` (uint64)."""
+    def values(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Signatures (bands * rows x sets) of the sets that begin at ``starts`` in ``hashes`` (uint64)."""
         low, high = [], []
         x = (hashes >> np.uint64(32)).astype(np.uint32)
         step = max(1, (1 << 20) // len(self.a))  # long texts: bounded pieces, cut between sets or within one
@@ -59,11 +60,35 @@ class MinMax:
             low.append(lo)
             high.append(hi)
         low, high = np.concatenate(low, axis=1), np.concatenate(high, axis=1)
-        values = np.stack([low, high], axis=1).reshape(-1, low.shape[1])[: self.bands * self.rows].astype(np.uint64)
+        return np.stack([low, high], axis=1).reshape(-1, low.shape[1])[: self.bands * self.rows].astype(np.uint64)
+
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        """Band keys (sets x bands, int64)."""
         mixed = finish((values + np.uint64(1)) * self.mix[:, None])
         keys = mixed.reshape(self.bands, self.rows, -1).sum(axis=1, dtype=np.uint64) + self.salt[:, None]
         return finish(keys).T.astype(np.int64)
 
+    def sketches(self, values: np.ndarray) -> np.ndarray:
+        """Four bits of every value, sixteen to a word (sets x words, int64)."""
+        bits = finish((values + np.uint64(1)) * self.mix[:, None]) & np.uint64(15)
+        bits = np.concatenate([bits, np.zeros((-len(bits) % 16, bits.shape[1]), np.uint64)]).reshape(-1, 16, bits.shape[1])
+        return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :, None], axis=1).T.astype(np.int64)
+
+
+def may_link(a: str, b: str, n_values: int, percent: int) -> Column:
+    """Whether two sketches agree in as many values as a link would, less five standard deviations.
+
+    A pair at the threshold fails with probability below 1e-6.
+    """
+    differ = F.lit(0)
+    for k in range(-(-n_values // 16)):
+        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(x)
+    p = percent / 100 + (1 - percent / 100) / 16
+    return differ <= F.lit(int(n_values * (1 - p) + 5 * (n_values * p * (1 - p)) ** 0.5) + 1)
+
 
 def finish(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64-bit word."""
@@ -82,26 +107,33 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(fits).select("a", "b"), "links")
 
 
-def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, n_values: int) -> DataFrame:
     """(node, comp) for nodes linked with another.
 
-    ``nodes``: (node bigint, bands array<bigint>), one row per distinct set.  ``sets_of`` takes the
-    candidates (node) and returns (node, shingles array<bigint>) of them all.
+    ``nodes``: (node bigint, bands array<bigint>, sketch array<bigint>), one row per distinct set.
+    ``sets_of`` takes the candidates (node) and returns (node, shingles array<bigint>) of them all.
     """
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    shared = written(shared, "buckets")
-    members = written(keyed.join(bounded(shared), "key"), "members")
+    members = written(keyed.join(written(shared, "buckets"), "key"), "members")
     wanted = written(members.select("node").distinct(), "candidates")
+    sketches = written(nodes.select("node", "sketch").join(bounded(wanted), "node", "left_semi"), "sketches")
     sets = written(sets_of(bounded(wanted)), "sets")
     if sets.count() > wanted.count():  # repeated rows
         sets = written(sets.dropDuplicates(["node"]), "sets")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("_a", "_b", n_values, percent)).select("a", "b")
+
     others = members.where("node <> pivot")
-    links = confirm(others.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")), sets, percent)
+    links = confirm(likely(others.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a"))), sets, percent)
     comps = components(links)
     rest = others.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = links.unionByName(confirm(_apart(rest, comps), sets, percent))
-    comps = components(links)
+    more = confirm(likely(_apart(rest, comps)), sets, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = components(links)
     tested = members.where("node = pivot").select("key", "node")
     turn = 0
     while True:
@@ -114,14 +146,16 @@ def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         whole = written(whole.where("comps > 1"), "open-buckets")
         if whole.isEmpty():
             return comps
-        here = written(here.join(bounded(whole), "key"), "open-members")
+        here = written(here.join(whole, "key").join(sketches, "node"), "open-members")
         minor = F.col("comp") != F.col("top.comp")
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("top.n"))
-        pivots = written(here.where(minor & (chance < PIVOTS)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), "pivots")
-        pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb")).join(pivots, "key").where("ca <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(confirm(pairs, sets, percent))
-        comps = components(links)
+        pivots = written(here.where(minor & (chance < PIVOTS)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa")), "pivots")
+        pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb")).join(pivots, "key")
+        pairs = pairs.where((F.col("ca") != F.col("cb")) & may_link("sa", "sb", n_values, percent))
+        more = confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps = components(links)
         tested = written(tested.unionByName(pivots.select("key", F.col("a").alias("node"))), "tested")
 
 
