@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import near_dedup, url_filter
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,4 +38,20 @@ SELECT page_id, host, path, rule,
 FROM hits"""
 
 
-ORACLES = {"op4_url_filter": _url_filter()}
+_NEAR = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM w
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {near_dedup.PERCENT} * (na + nb - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (SELECT doc_id, doc_id AS seen FROM s UNION SELECT walk.doc_id, b FROM walk JOIN both_ways ON seen = a),
+c AS (SELECT doc_id, min(seen) AS component_id FROM walk GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN c USING (doc_id)"""
+
+ORACLES = {"op4_url_filter": _url_filter(), "op5_near_dedup": _NEAR}
