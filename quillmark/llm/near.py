@@ -12,9 +12,10 @@ size costs a few comparisons a member.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import bounded, written
 from .components import components
 
 PIVOTS = 4096
+#: Bands and rows whose values a sketch holds, and the slack of its comparison.
+SKETCH, DEVIATIONS = (36, 7), 4.5
 
 
 class MinMax:
@@ -75,11 +78,27 @@ class MinMax:
         return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :, None], axis=1).T.astype(np.int64)
 
 
-def may_link(a: str, b: str, n_values: int, percent: int) -> Column:
-    """Whether two sketches agree in as many values as a link would, less five standard deviations.
+def sketch_table(sets: DataFrame) -> DataFrame:
+    """(node, sketch) of the candidates' full sets."""
 
-    A pair at the threshold fails with probability below 1e-6.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minmax = MinMax(*SKETCH, seed=2)
+        for batch in batches:
+            lists = batch.column(1)
+            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+            flat = lists.flatten().to_numpy().astype(np.uint64)
+            out = minmax.sketches(minmax.values(flat, starts)) if len(flat) else np.empty((0, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.int64()))], ["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, sketch array<long>")
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches agree in as many values as a link would, less ``DEVIATIONS`` standard deviations.
+
+    A pair at the very threshold fails with probability 3e-6, a closer one with less.
     """
+    n_values = SKETCH[0] * SKETCH[1]
     differ = F.lit(0)
     for k in range(-(-n_values // 16)):
         x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
@@ -87,7 +106,7 @@ def may_link(a: str, b: str, n_values: int, percent: int) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
     p = percent / 100 + (1 - percent / 100) / 16
-    return differ <= F.lit(int(n_values * (1 - p) + 5 * (n_values * p * (1 - p)) ** 0.5) + 1)
+    return differ <= F.lit(int(n_values * (1 - p) + DEVIATIONS * (n_values * p * (1 - p)) ** 0.5) + 1)
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -107,24 +126,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(fits).select("a", "b"), "links")
 
 
-def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, n_values: int) -> DataFrame:
+def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, comp) for nodes linked with another.
 
-    ``nodes``: (node bigint, bands array<bigint>, sketch array<bigint>), one row per distinct set.
+    ``nodes``: (node bigint, bands array<bigint>), one row per distinct set.
     ``sets_of`` takes the candidates (node) and returns (node, shingles array<bigint>) of them all.
     """
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     members = written(keyed.join(written(shared, "buckets"), "key"), "members")
     wanted = written(members.select("node").distinct(), "candidates")
-    sketches = written(nodes.select("node", "sketch").join(bounded(wanted), "node", "left_semi"), "sketches")
     sets = written(sets_of(bounded(wanted)), "sets")
     if sets.count() > wanted.count():  # repeated rows
         sets = written(sets.dropDuplicates(["node"]), "sets")
+    sketches = written(sketch_table(sets), "sketches")
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("_a", "_b", n_values, percent)).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(may_link("_a", "_b", percent)).select("a", "b")
 
     others = members.where("node <> pivot")
     links = confirm(likely(others.groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a"))), sets, percent)
@@ -151,7 +170,7 @@ def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("top.n"))
         pivots = written(here.where(minor & (chance < PIVOTS)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa")), "pivots")
         pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb")).join(pivots, "key")
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & may_link("sa", "sb", n_values, percent))
+        pairs = pairs.where((F.col("ca") != F.col("cb")) & may_link("sa", "sb", percent))
         more = confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
         if not more.isEmpty():
             links = links.unionByName(more)

@@ -25,11 +25,11 @@ def shingle_set(words: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands, sketch): set size, 128-bit digest of the set, band keys, sketch (null for an empty set)."""
+    """(doc_id, n_shingles, k1, k2, bands): set size, 128-bit digest of the set, band keys (null for an empty set)."""
     import xxhash
 
     small_batches(docs.sparkSession)
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax = WordHashes.shared(), MinMax(bands, rows)
@@ -38,16 +38,15 @@ def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: i
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = shingle_set(hashes.of_text(t.as_py()), size)
                 if not len(own):
-                    out.append((i, 0, None, None, None, None))
+                    out.append((i, 0, None, None, None))
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 k1, k2 = np.frombuffer(digest, "<i8").tolist()
-                values = minmax.values(own, np.zeros(1, np.int64))
-                out.append((i, len(own), k1, k2, minmax.keys(values)[0], minmax.sketches(values)[0]))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                out.append((i, len(own), k1, k2, minmax.keys(minmax.values(own, np.zeros(1, np.int64)))[0]))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -84,13 +83,13 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(texts, bands=bands, rows=rows, size=size), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
     def sets_of(candidates: DataFrame) -> DataFrame:
         chosen = texts.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         return shingle_sets(chosen, size)
 
-    comps = near_components(classes.select("node", "bands", "sketch"), sets_of, percent, bands * rows)
+    comps = near_components(classes.select("node", "bands"), sets_of, percent)
     reps = written(classes.select("k1", "k2", "node").join(comps, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp")), "class-components")
     joined = signed.join(reps, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))

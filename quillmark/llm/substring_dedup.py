@@ -27,7 +27,7 @@ from .shingles import WordHashes, shingle_hashes
 BANDS, ROWS, SIZE, PERCENT = 12, 3, 5, 80
 MIN_WORDS, CUT_WORDS, CUT_EVERY = 12, 24, 2
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+\s*|$)")
-UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, bands array<long>, sketch array<long>"
+UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, bands array<long>"
 #: Rows with arrays that are broadcast at most.
 WIDE_ROWS = 150_000
 
@@ -75,8 +75,8 @@ def line_sets(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray,
 def units(texts: DataFrame) -> DataFrame:
     """All paragraphs and parts of (doc_id, text_hash, text); band keys for paragraphs only."""
     small_batches(texts.sparkSession)
-    names = ["doc_id", "text_hash", "idx", "start", "length", "cls", "bands", "sketch"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["doc_id", "text_hash", "idx", "start", "length", "cls", "bands"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
 
     def cls(tag: bytes, words: list[bytes]) -> int:
         return xxhash.xxh3_64_intdigest(tag + b" ".join(words)) - (1 << 63)
@@ -90,13 +90,12 @@ def units(texts: DataFrame) -> DataFrame:
                 lines, parts = paragraphs(t.as_py() or "")
                 if not lines:
                     continue
-                values = minmax.values(*line_sets([w for _, _, w in lines], hashes))
-                keys, sketches = minmax.keys(values), minmax.sketches(values)
+                keys = minmax.keys(minmax.values(*line_sets([w for _, _, w in lines], hashes)))
                 for k, (start, n, words) in enumerate(lines):
-                    out.append((i, h, k, start, n, cls(b"L", words), keys[k], sketches[k]))
+                    out.append((i, h, k, start, n, cls(b"L", words), keys[k]))
                 for k, (start, n, words) in enumerate(parts, len(lines)):
-                    out.append((i, h, k, start, n, cls(b"P", words), None, None))
-            cols = list(zip(*out, strict=True)) or [()] * 8
+                    out.append((i, h, k, start, n, cls(b"P", words), None))
+            cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return texts.mapInArrow(run, UNITS)
@@ -130,15 +129,15 @@ def removals(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, spans) of what goes; spans: (start, length, group), group the component's class."""
     found = written(units(texts.where("doc_id IS NOT NULL")), "units")
     place = F.struct("doc_id", "text_hash", "idx", "start", "length")
-    classes = found.groupBy("cls").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = found.groupBy("cls").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.first("bands").alias("bands"))
     classes = written(classes, "paragraph-classes")
 
     def sets_of(candidates: DataFrame) -> DataFrame:
         at = classes.join(candidates, classes["cls"] == candidates["node"]).select("node", "keeper.*")
         return _sets(texts, at)
 
-    lines = classes.where("bands IS NOT NULL").select(F.col("cls").alias("node"), "bands", "sketch")
-    comps = bounded(near_components(lines, sets_of, percent, BANDS * ROWS)).withColumnRenamed("node", "cls")
+    lines = classes.where("bands IS NOT NULL").select(F.col("cls").alias("node"), "bands")
+    comps = bounded(near_components(lines, sets_of, percent)).withColumnRenamed("node", "cls")
     narrow = classes.select("cls", "keeper", (F.col("keeper") != F.col("last")).alias("repeats"))
     grouped = narrow.join(comps, "cls", "left").where("repeats OR comp IS NOT NULL")
     grouped = written(grouped.withColumn("group", F.coalesce("comp", "cls")).select("cls", "group", "keeper"), "repeated-classes")

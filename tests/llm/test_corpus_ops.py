@@ -90,7 +90,7 @@ def test_sketches_keep_links_and_drop_strangers(spark):
             own = [np.unique(np.concatenate([common_[:n], rng.integers(0, 1 << 63, 1000 - n, dtype=np.uint64)])) for _ in range(2)]
             rows.append((share, *[minmax.sketches(minmax.values(s, np.zeros(1, np.int64)))[0].tolist() for s in own]))
     df = spark.createDataFrame(rows, "share double, a array<long>, b array<long>")
-    got = df.groupBy("share").agg(F.count_if(near.may_link("a", "b", 252, 85)).alias("n")).collect()
+    got = df.groupBy("share").agg(F.count_if(near.may_link("a", "b", 85)).alias("n")).collect()
     assert {r.share: r.n for r in got} == {0.93: 20, 0.6: 0}
 
 
