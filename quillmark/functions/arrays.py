@@ -32,14 +32,5 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ > 0, both / all_).otherwise(F.lit(0.0))
 
 
-def count_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two bags' term counts."""
-    shared = F.array_intersect(a, b)
-    times = lambda bag, t: F.size(F.filter(bag, lambda x: x == t)).cast("double")
-    dot = F.aggregate(shared, F.lit(0.0), lambda s, t: s + times(a, t) * times(b, t))
-    norm = lambda bag: F.sqrt(F.aggregate(F.array_distinct(bag), F.lit(0.0), lambda s, t: s + times(bag, t) * times(bag, t)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
-
-
 def missing_extra(want: Column, have: Column) -> tuple[Column, Column]:
     return F.array_except(want, have), F.array_except(have, want)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,37 +31,23 @@ def _hex(digest: Column, start: Column | int, n: int) -> Column:
     return F.conv(F.substr(digest, F.lit(start) if isinstance(start, int) else start, F.lit(n)), 16, 10).cast("long")
 
 
-def _gather(hits: Column, dims: int) -> Column:
-    """Sum signed bucket hits, array<struct<bucket, sign>>, into a dense unit vector."""
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(hits, F.lit(0.0), lambda s, h: s + F.when(h["bucket"] == d, h["sign"]).otherwise(0.0)),
-    )
-    return normalized(dense)
-
-
-def wide_hash_embedding(tokens: Column, dims: int) -> Column:
-    """Sixteen buckets a token, from the 16-bit pairs of its SHA-256; plus if a pair's first byte is even."""
-
-    def of(token: Column) -> Column:
-        digest = F.sha2(token, 256)
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(15)),
-            lambda i: F.struct(
-                F.pmod(_hex(digest, i * 4 + 1, 4), F.lit(dims)).alias("bucket"),
-                F.when(F.pmod(_hex(digest, i * 4 + 1, 2), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"),
-            ),
-        )
-
-    return _gather(F.flatten(F.transform(tokens, of)), dims)
-
-
-def token_hash_embedding(tokens: Column, dims: int) -> Column:
-    """One bucket a token: the first four bytes of its SHA-256; plus if the fifth byte is even."""
-
-    def of(token: Column) -> Column:
-        digest = F.sha2(token, 256)
-        bucket = F.pmod(_hex(digest, 1, 8), F.lit(dims)).alias("bucket")
-        return F.struct(bucket, F.when(F.pmod(_hex(digest, 9, 2), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"))
-
-    return _gather(F.transform(tokens, of), dims)
+def hash_embedding(rows: DataFrame, key: str, tokens: Column, dims: int, *, wide: bool) -> DataFrame:
+    """(key, dim, value): signed hash counts of the tokens, scaled to unit length.
+
+    ``wide``: sixteen buckets a token, from the 16-bit pairs of its SHA-256, plus if a pair's first byte
+    is even.  Else one bucket, from its first four bytes, plus if the fifth byte is even.
+    """
+    words = rows.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("c"))
+    words = words.select(key, "c", F.sha2("token", 256).alias("h"))
+    if wide:
+        words = words.select(key, "c", "h", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+        bucket, mark = _hex(F.col("h"), F.col("i") * 4 + 1, 4), _hex(F.col("h"), F.col("i") * 4 + 1, 2)
+    else:
+        bucket, mark = _hex(F.col("h"), 1, 8), _hex(F.col("h"), 9, 2)
+    sign = F.when(F.pmod(mark, F.lit(2)) == 0, F.col("c")).otherwise(-F.col("c"))
+    sums = words.groupBy(key, F.pmod(bucket, F.lit(dims)).alias("dim")).agg(F.sum(sign).cast("double").alias("v"))
+    # at most ``dims`` entries a key
+    whole = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    each = whole.select(key, "m", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))).alias("dim"))
+    value = F.coalesce(F.element_at("m", F.col("dim")), F.lit(0.0))
+    return each.select(key, "dim", F.round(F.when(F.col("n") > 0, value / F.col("n")).otherwise(value), 8).alias("value"))

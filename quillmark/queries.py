@@ -198,16 +198,16 @@ def vector_check(spark: SparkSession, d: str) -> DataFrame:
 def hash_embed_wide(spark: SparkSession, d: str) -> DataFrame:
     bag = T.bm25_bag(F.col("text"))
     tokens = F.when(F.size(bag) > 0, bag).otherwise(F.array("text"))
-    v = model.table(spark, d, "benchmark").select("item_id", V.wide_hash_embedding(tokens, 32).alias("v"))
-    return v.select("item_id", F.posexplode("v").alias("dim", "value")).select("item_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    v = V.hash_embedding(model.table(spark, d, "benchmark"), "item_id", tokens, 32, wide=True)
+    return v.withColumn("value", F.round("value", 6))
 
 
 @query
 def hash_embed_token(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), "\n", " "), " "), lambda w: w != "")
     tokens = F.when(F.size(words) > 0, words).otherwise(F.array("text"))
-    v = model.table(spark, d, "benchmark").select("item_id", V.token_hash_embedding(tokens, 32).alias("v"))
-    return v.select("item_id", F.posexplode("v").alias("dim", "value")).select("item_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    v = V.hash_embedding(model.table(spark, d, "benchmark"), "item_id", tokens, 32, wide=False)
+    return v.withColumn("value", F.round("value", 6))
 
 
 def _both_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 """The entry module, and what is left of it without the optional subpackage."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -12,7 +13,7 @@ def test_import_without_optional_parts(tmp_path):
     shutil.copy(REPO / "__spark_entry__.py", tmp_path)
     shutil.copytree(REPO / "quillmark", tmp_path / "quillmark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
 
 
 def test_entry(spark):
