@@ -166,13 +166,13 @@ h AS (SELECT item_id, sha256(tok) AS h, unnest(range(16)) AS i FROM t),
 b AS (SELECT item_id, {_num('h', 'i * 4 + 1', 4)} % 32 AS dim, sum(CASE WHEN {_num('h', 'i * 4 + 1', 2)} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL),
 n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY item_id),
 g AS (SELECT DISTINCT item_id, unnest(range(32)) AS dim FROM t)
-SELECT item_id, dim, round(coalesce(CASE WHEN norm > 0 THEN v / norm ELSE v END, 0), 6) AS value FROM g LEFT JOIN b USING (item_id, dim) JOIN n USING (item_id)"""
+SELECT item_id, dim, round(round(coalesce(CASE WHEN norm > 0 THEN v / norm ELSE v END, 0), 8), 6) AS value FROM g LEFT JOIN b USING (item_id, dim) JOIN n USING (item_id)"""
 _ws = r"list_filter(string_split(replace(lower(text), chr(10), ' '), ' '), lambda x: x <> '')"
 ORACLES["hash_embed_token"] = f"""WITH t AS (SELECT item_id, unnest(CASE WHEN len({_ws}) > 0 THEN {_ws} ELSE [text] END) AS tok FROM benchmark),
 b AS (SELECT item_id, {_num('sha256(tok)', 1, 8)} % 32 AS dim, sum(CASE WHEN {_num('sha256(tok)', 9, 2)} % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY ALL),
 n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY item_id),
 g AS (SELECT DISTINCT item_id, unnest(range(32)) AS dim FROM t)
-SELECT item_id, dim, round(coalesce(CASE WHEN norm > 0 THEN v / norm ELSE v END, 0), 6) AS value FROM g LEFT JOIN b USING (item_id, dim) JOIN n USING (item_id)"""
+SELECT item_id, dim, round(round(coalesce(CASE WHEN norm > 0 THEN v / norm ELSE v END, 0), 8), 6) AS value FROM g LEFT JOIN b USING (item_id, dim) JOIN n USING (item_id)"""
 ORACLES["hybrid_fusion"] = f"""WITH {BM25}, {LEX},
 l AS (SELECT query_id, conv_id, turn, bm25 / max(bm25) OVER (PARTITION BY query_id) AS a FROM bm),
 r AS (SELECT query_id, conv_id, turn, score / 10 / max(score / 10) OVER (PARTITION BY query_id) AS b FROM lx),
@@ -230,7 +230,7 @@ comp AS (SELECT node_id, min(seen) AS component FROM walk GROUP BY node_id)"""
 
 
 ORACLES["graph_projection_stats"] = f"""WITH {G} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM deg WHERE degree = 0) AS isolates, count(*) AS n_edges,
-  count(*) FILTER (source = target) AS self_loops, 1 + (SELECT count(*) FROM deg WHERE degree = 0) AS weak_components, round(count(*) / (n_nodes * (n_nodes - 1)), 8) AS density FROM edges"""
+  count(*) FILTER (source = target) AS self_loops, 1 + (SELECT count(*) FROM deg WHERE degree = 0) AS weak_components, round(count(*) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 8) AS density FROM edges"""
 ORACLES["graph_review_projection"] = f"WITH {G} SELECT edge_id, source, target, evidence_count FROM edges WHERE evidence_count >= 2 AND source IN (SELECT node_id FROM nodes WHERE entity_type <> 'person') AND target IN (SELECT node_id FROM nodes WHERE entity_type <> 'person')"
 ORACLES["graph_components"] = f"WITH RECURSIVE {G}, {reach(chr(34) + 'relation_type' + chr(34) + " = 'supplies' AND evidence_count >= 3")} SELECT node_id, component FROM comp"
 _rank = ""
@@ -250,10 +250,10 @@ ORACLES["node_jaccard"] = f"""WITH {G}, c AS (SELECT node_id FROM deg WHERE node
 n AS (SELECT node_id, count(*) AS n FROM s GROUP BY node_id), p AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS common FROM s x JOIN s y ON x.other = y.other AND x.node_id < y.node_id GROUP BY ALL)
 SELECT a, b, common, round(common / (na.n + nb.n - common), 6) AS jaccard FROM p JOIN n na ON na.node_id = a JOIN n nb ON nb.node_id = b"""
 _hop = """, nr AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE relation_type <> 'supplies' UNION SELECT DISTINCT target, source FROM edges WHERE relation_type <> 'supplies')"""
-ORACLES["shortest_paths_4hop"] = f"""WITH RECURSIVE {G}{_hop}, seeds AS (SELECT unnest(['region:0', 'region:1', 'nation:3', 'nation:7']) AS s),
-w AS (SELECT s AS a, s AS at, [s] AS path FROM seeds UNION ALL SELECT w.a, nr.b, list_append(path, nr.b) FROM w JOIN nr ON w.at = nr.a
+ORACLES["shortest_paths_4hop"] = f"""WITH RECURSIVE {G}{_hop}, seeds AS (SELECT unnest(['region:3', 'nation:3', 'nation:8', 'nation:7']) AS s),
+w AS (SELECT s AS a, s AS pos, [s] AS path FROM seeds UNION ALL SELECT w.a, nr.b, list_append(path, nr.b) FROM w JOIN nr ON w.pos = nr.a
       WHERE len(path) <= 4 AND NOT list_contains(path, nr.b) AND (nr.b NOT LIKE 'customer:%' AND nr.b NOT LIKE 'supplier:%')),
-r AS (SELECT a, at AS b, path FROM w WHERE a < at AND at IN (SELECT s FROM seeds))
+r AS (SELECT a, pos AS b, path FROM w WHERE a < pos AND pos IN (SELECT s FROM seeds))
 SELECT a, b, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS hops FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1"""
 ORACLES["hop_distances"] = f"""WITH {G}{_hop}, d0 AS (SELECT node_id AS seed, node_id FROM nodes WHERE node_id LIKE 'region:%'),
 d1 AS (SELECT DISTINCT seed, b AS node_id FROM d0 JOIN nr ON node_id = a), d2 AS (SELECT DISTINCT seed, b AS node_id FROM d1 JOIN nr ON node_id = a), d3 AS (SELECT DISTINCT seed, b AS node_id FROM d2 JOIN nr ON node_id = a),

@@ -327,7 +327,7 @@ def node_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def shortest_paths_4hop(spark: SparkSession, d: str) -> DataFrame:
-    seeds = model.graph_nodes(spark, d).where("node_id IN ('region:0', 'region:1', 'nation:3', 'nation:7')").select("node_id")
+    seeds = model.graph_nodes(spark, d).where("node_id IN ('region:3', 'nation:3', 'nation:8', 'nation:7')").select("node_id")
     edges = model.graph_edges(spark, d).where("relation_type <> 'supplies'")
     paths = graph.shortest_paths(edges, seeds)
     return paths.select("a", "b", F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
