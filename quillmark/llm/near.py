@@ -24,7 +24,7 @@ from .components import components
 
 PIVOTS = 4096
 #: Bands and rows whose values a sketch holds, and the slack of its comparison.
-SKETCH, DEVIATIONS = (36, 7), 4.5
+SKETCH, QUICK_WORDS, DEVIATIONS = (72, 7), 12, 4.5
 
 
 class MinMax:
@@ -98,15 +98,21 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
     A pair at the very threshold fails with probability 3e-6, a closer one with less.
     """
-    n_values = SKETCH[0] * SKETCH[1]
-    differ = F.lit(0)
-    for k in range(-(-n_values // 16)):
-        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+
+    def fold(x: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    p = percent / 100 + (1 - percent / 100) / 16
-    return differ <= F.lit(int(n_values * (1 - p) + DEVIATIONS * (n_values * p * (1 - p)) ** 0.5) + 1)
+        return F.bit_count(x)
+
+    def most(n: int) -> int:
+        p = percent / 100 + (1 - percent / 100) / 16
+        return int(n * (1 - p) + DEVIATIONS * (n * p * (1 - p)) ** 0.5) + 1
+
+    first = F.lit(0)  # a part in generated code, which most pairs fail
+    for k in range(QUICK_WORDS):
+        first = first + fold(F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k))))
+    whole = F.aggregate(F.zip_with(a, b, lambda x, y: fold(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (first <= most(16 * QUICK_WORDS)) & (whole <= most(SKETCH[0] * SKETCH[1]))
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -168,9 +174,11 @@ def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         here = written(here.join(whole, "key").join(sketches, "node"), "open-members")
         minor = F.col("comp") != F.col("top.comp")
         chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("top.n"))
-        pivots = written(here.where(minor & (chance < PIVOTS)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa")), "pivots")
-        pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb")).join(pivots, "key")
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & may_link("sa", "sb", percent))
+        here = here.withColumn("tries", minor & (chance < PIVOTS))
+        pivots = written(here.where("tries").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa")), "pivots")
+        pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), "tries").join(pivots, "key")
+        once = ~F.col("tries") | (F.col("a") < F.col("b"))  # of two pivots one asks
+        pairs = pairs.where((F.col("ca") != F.col("cb")) & once & may_link("sa", "sb", percent))
         more = confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
