@@ -23,7 +23,7 @@ from .common import small_batches
 #: Labelled rows that the model is fitted on at most (those of least seeded hash); buckets of hashed words.
 TRAIN_ROWS, BUCKETS = 10_000, 1 << 18
 GRADES, STEPS, RIDGE, RATE = 4, 150, 2e-4, 0.1
-MIN_DOCS, CACHE_WORDS = 3, 400_000
+MIN_DOCS, MIN_SHARE, CACHE_WORDS = 3, 0.03, 400_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -62,13 +62,25 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -30, 30)))
 
 
+def singled_out(rows: list[Counter], toxic: np.ndarray) -> np.ndarray:
+    """Buckets that the labels mark as toxic: in a good share of different toxic documents, rare in others.
+
+    Equal rows count once, so copies of a document do not mark all of its words.
+    """
+    seen, n, known = np.zeros((2, BUCKETS)), [0, 0], set()
+    for row, t in zip(rows, toxic, strict=True):
+        key = (bool(t), frozenset(row.items()))
+        if key not in known:
+            known.add(key)
+            seen[0 if t else 1, list(row)] += 1
+            n[0 if t else 1] += 1
+    floor = max(MIN_DOCS, MIN_SHARE * n[0])
+    return (seen[0] >= floor) & (seen[0] / max(1, n[0]) > 10 * (seen[1] + 0.5) / max(1, n[1]))
+
+
 def severity(rows: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades from 0/1 labels: toxic documents by equal parts of their number of singled-out words."""
-    n = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    seen = np.zeros((2, BUCKETS))
-    for row, t in zip(rows, toxic, strict=True):
-        seen[0 if t else 1, list(row)] += 1
-    marked = (seen[0] >= MIN_DOCS) & (seen[0] / n[0] > 10 * (seen[1] + 0.5) / n[1])
+    marked = singled_out(rows, toxic)
     hits = np.array([sum(c for b, c in row.items() if marked[b]) for row in rows])
     if not toxic.any():
         return np.zeros(len(rows), int)
@@ -77,12 +89,9 @@ def severity(rows: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> np
 
 
 def fit(rows: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> Ordinal:
-    """Full-batch Adam on the cumulative-link likelihood with a ridge; buckets of few documents stay at 0."""
+    """Full-batch Adam on the cumulative-link likelihood with a ridge; only singled-out buckets get a weight."""
     y = severity(rows, toxic, grades)
-    df = np.zeros(BUCKETS, int)
-    for row in rows:
-        df[list(row)] += 1
-    used = np.flatnonzero(df >= MIN_DOCS)
+    used = np.flatnonzero(singled_out(rows, toxic))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     owner, column, value = [], [], []
