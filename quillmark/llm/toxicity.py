@@ -23,7 +23,7 @@ from .common import small_batches
 #: Labelled rows that the model is fitted on at most (those of least seeded hash); buckets of hashed words.
 TRAIN_ROWS, BUCKETS = 10_000, 1 << 18
 GRADES, STEPS, RIDGE, RATE = 4, 150, 2e-4, 0.1
-MIN_DOCS, MIN_SHARE, CACHE_WORDS = 3, 0.03, 400_000
+MIN_DOCS, CACHE_WORDS = 3, 400_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -63,8 +63,9 @@ class Ordinal:
 
 
 def singled_out(rows: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Buckets that the labels mark as toxic: in a good share of different toxic documents, rare in others.
+    """Buckets that the labels mark as toxic: in MIN_DOCS different toxic documents at least, rare in others.
 
+    The least number does not grow with the sample, so the insults of a small language are learned too.
     Equal rows count once, so copies of a document do not mark all of its words.
     """
     seen, n, known = np.zeros((2, BUCKETS)), [0, 0], set()
@@ -74,8 +75,7 @@ def singled_out(rows: list[Counter], toxic: np.ndarray) -> np.ndarray:
             known.add(key)
             seen[0 if t else 1, list(row)] += 1
             n[0 if t else 1] += 1
-    floor = max(MIN_DOCS, MIN_SHARE * n[0])
-    return (seen[0] >= floor) & (seen[0] / max(1, n[0]) > 10 * (seen[1] + 0.5) / max(1, n[1]))
+    return (seen[0] >= MIN_DOCS) & (seen[0] / max(1, n[0]) > 10 * (seen[1] + 0.5) / max(1, n[1]))
 
 
 def severity(rows: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:

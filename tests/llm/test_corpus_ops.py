@@ -177,6 +177,15 @@ def test_toxicity_held_out(spark, sf):
     assert len(rows) == 3 and not any(r.toxic for r in rows)
 
 
+def test_toxicity_held_out_in_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    train, held = labels.where("doc_id % 4 <> 1"), labels.where("doc_id % 4 = 1 AND toxic = 1")
+    scored = toxicity.rate_toxicity(docs, train).withColumnRenamed("toxic", "toxic_found").join(held, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = {r.lang: r.n / r.all for r in scored.groupBy("lang").agg(F.count_if(F.col("toxic_found")).alias("n"), F.count("*").alias("all")).collect()}
+    assert set(got) == {"de", "en", "es", "fr"} and min(got.values()) >= 0.7, got
+
+
 def test_ordinal_thresholds_are_ordered():
     rows = [Counter({1: 1, 2: k % 3, 3: 1}) for k in range(60)] + [Counter({7: 1 + k % 9, 3: 1}) for k in range(60)]
     model = toxicity.fit(rows, np.arange(120) >= 60)
