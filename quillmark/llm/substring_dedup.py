@@ -2,16 +2,17 @@
 
 Paragraphs are lines of at least ``MIN_WORDS`` words.  Equal ones form a class; classes whose band
 keys meet are compared on their full five-word shingle sets, and those with a similarity of 0.8 or
-more are linked.  So that a passage is also found inside a longer line, lines are cut after sentences
-chosen by their own hash (so the same sentences are cut the same way anywhere), and the cuts take
-part by equality.  Of each component the occurrence with the smallest (document, place) stays, all
-others are removed.
+more are linked.  So that a passage is found wherever it stands, in a line or across short ones,
+runs of ``WINDOW`` words are selected by winnowing: of any ``STEPS`` runs that follow each other the
+one of least hash is taken, so two texts that share ``WINDOW + STEPS - 1`` = 50 words have a selected
+run in common, and the selected runs of a longer passage leave no gap.  Runs take part by equality,
+and what they cover is extended word by word as far as it agrees with the copy that stays.  Of each
+component the occurrence with the smallest (document, place) stays, all others are removed.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,50 +21,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, small_batches, written
-from .near import MinMax, near_components
+from .near import MinMax, finish, near_components
 from .shingles import WordHashes, shingle_hashes
 
 #: At similarity 0.8 a link is missed by all 12 bands of 3 with probability 2e-4, at 0.9 with 4e-7.
 BANDS, ROWS, SIZE, PERCENT = 12, 3, 5, 80
-MIN_WORDS, CUT_WORDS, CUT_EVERY = 12, 24, 2
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+\s*|$)")
+MIN_WORDS = 12
+#: Words of a run and runs of which one is selected; idx of a text's first selected run.
+WINDOW, STEPS, FIRST_RUN = 26, 25, 1 << 30
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_K = np.uint64(0x9E3779B97F4A7C15)
 UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, bands array<long>"
 #: Rows with arrays that are broadcast at most.
 WIDE_ROWS = 150_000
 
 
-def _cuts(line: str) -> Iterator[tuple[int, int]]:
-    """(start, length) of the parts of a line, cut after sentences whose hash is 0 modulo CUT_EVERY."""
-    begin = 0
-    for m in _SENTENCE.finditer(line):
-        if m.end() == m.start():
-            continue
-        if xxhash.xxh3_64_intdigest(b" ".join(m[0].encode().lower().split())) % CUT_EVERY == 0 or m.end() == len(line):
-            yield begin, m.end() - begin
-            begin = m.end()
-
-
-def paragraphs(text: str) -> tuple[list[tuple[int, int, list[bytes]]], list[tuple[int, int, list[bytes]]]]:
-    """Lines, and parts of long lines: (start, length, words), of MIN_WORDS at least."""
-    lines, parts, at = [], [], 0
-    for line in text.split("\n"):
-        words = line.encode().lower().split()
-        if len(words) >= MIN_WORDS:
-            lines.append((at, len(line), words))
-            if len(words) >= CUT_WORDS:
-                for start, n in _cuts(line):
-                    if n < len(line):
-                        own = line[start : start + n].encode().lower().split()
-                        if len(own) >= MIN_WORDS:
-                            parts.append((at + start, n, own))
-        at += len(line) + 1
-    return lines, parts
-
-
-def line_sets(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all paragraphs, one after the other, and where each begins."""
-    flat = hashes.of_words([w for ws in words for w in ws])
-    runs = shingle_hashes(flat, SIZE)
+class Words:
+    """A text's words (split at ASCII white space): hashes of their lower case, places in characters, and lines."""
+
+    def __init__(self, text: str, hashes: WordHashes):
+        raw = text.encode()
+        self.hash = hashes.of_words(raw.lower().split())
+        self.raw = np.frombuffer(raw, np.uint8)
+        edge = np.flatnonzero(np.diff(_SPACE[self.raw], prepend=True, append=True))
+        self.first, self.last = edge[::2], edge[1::2]
+        self.chars = None if len(raw) == len(text) else np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """Characters before bytes."""
+        return at if self.chars is None else self.chars[at]
+
+    def lines(self) -> Iterator[tuple[int, int, int, int]]:
+        """(start, length, first word, word behind) of lines of MIN_WORDS at least."""
+        ends = np.append(np.flatnonzero(self.raw == 10), len(self.raw))
+        begins = np.append(0, ends[:-1] + 1)
+        words = np.searchsorted(self.first, ends)
+        before = np.append(0, words[:-1])
+        keep = words - before >= MIN_WORDS
+        start, stop = self.place(begins[keep]), self.place(ends[keep])
+        return zip(start.tolist(), (stop - start).tolist(), before[keep].tolist(), words[keep].tolist(), strict=True)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Selected runs: the number of their first word, and their hashes."""
+        if len(self.hash) < WINDOW + STEPS - 1:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        key = _spread(self.hash, WINDOW, lambda a, b: finish(a * _K + b))
+        least = _spread(key, STEPS, np.minimum)
+        pad = np.zeros(STEPS - 1, np.uint64)
+        at = np.flatnonzero(key == _spread(np.concatenate([pad, least, pad]), STEPS, np.maximum))
+        same = np.flatnonzero(np.diff(key[at]) == 0)
+        if len(same):  # ties, as in texts that repeat themselves: as few as leave no gap
+            kept, k = [], at.tolist()
+            for j, x in enumerate(k):
+                if not kept or key[x] != key[kept[-1]] or j + 1 == len(k) or key[k[j + 1]] != key[x] or k[j + 1] - kept[-1] > STEPS:
+                    kept.append(x)
+            at = np.array(kept)
+        return at, key[at]
+
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of the runs that begin at words ``at``."""
+        start = self.place(self.first[at])
+        return start, self.place(self.last[at + WINDOW - 1]) - start
+
+
+def _spread(x: np.ndarray, n: int, join: Callable) -> np.ndarray:
+    """``join`` over every ``n`` neighbours, by doubling."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x, size = join(x[:-step], x[step:]), size + step
+    return x
+
+
+def line_sets(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all paragraphs (their words' hashes), one after the other, and where each begins."""
+    runs = shingle_hashes(np.concatenate(words), SIZE)
     counts = np.array([len(w) for w in words])
     begins = np.cumsum(counts) - counts
     own = np.ones(len(runs), bool)
@@ -73,28 +106,28 @@ def line_sets(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray,
 
 
 def units(texts: DataFrame) -> DataFrame:
-    """All paragraphs and parts of (doc_id, text_hash, text); band keys for paragraphs only."""
+    """All paragraphs and selected runs of (doc_id, text_hash, text); band keys for paragraphs only."""
     small_batches(texts.sparkSession)
     names = ["doc_id", "text_hash", "idx", "start", "length", "cls", "bands"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
 
-    def cls(tag: bytes, words: list[bytes]) -> int:
-        return xxhash.xxh3_64_intdigest(tag + b" ".join(words)) - (1 << 63)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax = WordHashes.shared(), MinMax(BANDS, ROWS)
         for batch in batches:
             out = []
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, h, t in zip(ids, marks, batch.column(2), strict=True):
-                lines, parts = paragraphs(t.as_py() or "")
-                if not lines:
-                    continue
-                keys = minmax.keys(minmax.values(*line_sets([w for _, _, w in lines], hashes)))
-                for k, (start, n, words) in enumerate(lines):
-                    out.append((i, h, k, start, n, cls(b"L", words), keys[k]))
-                for k, (start, n, words) in enumerate(parts, len(lines)):
-                    out.append((i, h, k, start, n, cls(b"P", words), None))
+                words = Words(t.as_py() or "", hashes)
+                lines = [(start, n, words.hash[b:e]) for start, n, b, e in words.lines()]
+                if lines:
+                    keys = minmax.keys(minmax.values(*line_sets([w for _, _, w in lines])))
+                    for k, (start, n, own) in enumerate(lines):
+                        out.append((i, h, k, start, n, xxhash.xxh3_64_intdigest(b"L" + own.tobytes()) - (1 << 63), keys[k]))
+                at, key = words.runs()
+                if len(at):
+                    start, n = words.spans(at)
+                    for k, row in enumerate(zip(start.tolist(), n.tolist(), key.view(np.int64).tolist(), strict=True), FIRST_RUN):
+                        out.append((i, h, k, *row, None))
             cols = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -130,6 +163,7 @@ def removals(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = written(units(texts.where("doc_id IS NOT NULL")), "units")
     place = F.struct("doc_id", "text_hash", "idx", "start", "length")
     classes = found.groupBy("cls").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.first("bands").alias("bands"))
+    classes = classes.withColumn("repeats", F.col("keeper") != F.col("last")).drop("last").where("bands IS NOT NULL OR repeats")
     classes = written(classes, "paragraph-classes")
 
     def sets_of(candidates: DataFrame) -> DataFrame:
@@ -138,25 +172,93 @@ def removals(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     lines = classes.where("bands IS NOT NULL").select(F.col("cls").alias("node"), "bands")
     comps = bounded(near_components(lines, sets_of, percent)).withColumnRenamed("node", "cls")
-    narrow = classes.select("cls", "keeper", (F.col("keeper") != F.col("last")).alias("repeats"))
+    narrow = classes.select("cls", "keeper", "repeats")
     grouped = narrow.join(comps, "cls", "left").where("repeats OR comp IS NOT NULL")
     grouped = written(grouped.withColumn("group", F.coalesce("comp", "cls")).select("cls", "group", "keeper"), "repeated-classes")
     keepers = grouped.groupBy("group").agg(F.min("keeper").alias("first"))
     chosen = bounded(written(grouped.select("cls", "group").join(keepers, "group"), "keepers"), 300_000)
     gone = found.select("cls", *UNIT_PLACE).join(chosen, "cls").where(place != F.col("first"))
-    return written(_spans(gone, "start", "length", "group"), "removals")
+    gone = written(gone.select("doc_id", "text_hash", "idx", "start", "length", "group", "first"), "gone")
+    paragraphs = gone.where(F.col("idx") < FIRST_RUN).select("doc_id", "text_hash", "start", "length", "group")
+    return written(_spans(paragraphs.unionByName(_stretches(texts, gone.where(F.col("idx") >= FIRST_RUN))), "start", "length", "group"), "removals")
+
+
+def _stretches(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, length, group): what runs that go cover, extended while the copy that stays agrees."""
+    columns = "doc_id long, text_hash long, start int, stop int, group long, before array<long>, before_at array<int>, behind array<long>, behind_at array<int>"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64()), pa.list_(pa.int32())] * 2]
+    none = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def sides(words: Words, begin: np.ndarray, end: np.ndarray, edges: np.ndarray, b: int) -> tuple[np.ndarray, ...]:
+        """Up to STEPS words before and behind a run, nearest first, and where they begin or end; a paragraph is not left."""
+        e, key = b + WINDOW, words.hash.view(np.int64)
+        low = max(edges[edges[:, 0] <= b, 0], default=0)
+        high = min(edges[edges[:, 1] >= e, 1], default=len(begin))
+        left, right = slice(max(low, b - STEPS), b), slice(e, min(high, e + STEPS))
+        return key[left][::-1], begin[left][::-1].astype(np.int32), key[right], end[right].astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes.shared()
+        for batch in batches:
+            out = []
+            for i, h, t, spans, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                words, at = Words(t, hashes), []
+                begin, end = words.place(words.first), words.place(words.last)
+                edges = np.array([line[2:] for line in words.lines()], int).reshape(-1, 2)
+                for s in spans:
+                    if whole and at and s["start"] <= at[-1][-1]["start"] + at[-1][-1]["length"] + 1:
+                        at[-1].append(s)
+                    else:
+                        at.append([s])
+                for one in at:
+                    start, stop = one[0]["start"], one[-1]["start"] + one[-1]["length"]
+                    first = np.searchsorted(begin, [s["start"] for s in one])
+                    if len(one) > 1:
+                        out.append((i, h, start, stop, one[0]["group"], *none, *none))
+                    for s, k in zip(one, first, strict=True):  # the runs at the edges: their kept copies may differ
+                        if k - first[0] < STEPS or first[-1] - k < STEPS:
+                            out.append((i, h, s["start"], s["start"] + s["length"], s["group"], *sides(words, begin, end, edges, k)))
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            names = ["doc_id", "text_hash", "start", "stop", "group", "before", "before_at", "behind", "behind_at"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    def around(places: DataFrame, whole: bool, name: str) -> DataFrame:
+        spans = bounded(written(_spans(places, "start", "length", "group"), f"{name}-spans"), WIDE_ROWS)
+        rows = texts.join(spans, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "spans", F.lit(whole).alias("whole"))
+        return written(rows.mapInArrow(run, columns), name)
+
+    found = around(gone.select("doc_id", "text_hash", "start", "length", "group"), True, "stretches").dropDuplicates(["doc_id", "text_hash", "start", "stop"])
+    ends = found.where("size(before) + size(behind) > 0").select("group").distinct()
+    firsts = gone.groupBy("group").agg(F.first("first").alias("first")).join(ends, "group").select("group", "first.doc_id", "first.text_hash", "first.start", "first.length")
+    kept = around(firsts, False, "kept-runs").select("group", F.col("before").alias("_before"), F.col("behind").alias("_behind")).dropDuplicates(["group"])
+    found = found.join(bounded(written(kept, "kept-contexts"), WIDE_ROWS), "group", "left")
+    for side, edge in (("before", "start"), ("behind", "stop")):  # as far as words agree one after the other
+        same = F.zip_with(side, f"_{side}", lambda a, b: F.coalesce(a == b, F.lit(False)))
+        apart = F.coalesce(F.array_position(same, False), F.lit(1))
+        n = F.when(apart > 0, apart - 1).otherwise(F.size(side)).cast("int")
+        found = found.withColumn(edge, F.when(n > 0, F.get(F.col(f"{side}_at"), n - 1)).otherwise(F.col(edge)))
+    return found.select("doc_id", "text_hash", "start", (F.col("stop") - F.col("start")).alias("length"), "group")
 
 
 UNIT_PLACE = ("doc_id", "text_hash", "idx", "start", "length")
 
 
+def merged(spans: list[dict]) -> list[dict]:
+    """The spans in order, those that overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if out and s["start"] <= (last := out[-1])["start"] + last["length"]:
+            last["length"] = max(last["length"], s["start"] + s["length"] - last["start"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def cut_spans(text: str, spans: list[dict]) -> str:
     """The text without the spans; a line that goes whole takes its line end along."""
     out, at = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], -s["length"])):
+    for s in merged(spans):
         start, stop = s["start"], s["start"] + s["length"]
-        if start < at:  # a part of a line that is gone already
-            continue
         out.append(text[at:start])
         whole = (start == 0 or text[start - 1] == "\n") and (stop == len(text) or text[stop] == "\n")
         at = stop + 1 if whole and stop < len(text) else stop
@@ -178,13 +280,14 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, chars = [], []
-            for t, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            gone = [s and merged(s) for s in batch.column(2).to_pylist()]
+            for t, spans in zip(batch.column(1), gone, strict=True):
                 text = t.as_py()
                 new = cut_spans(text, spans) if spans else text
                 clean.append(new)
                 chars.append(len(text or "") - len(new or ""))
-            n = [len(s or ()) for s in batch.column(2).to_pylist()]
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(chars, pa.int64()), batch.column(2), pa.array(clean, pa.string())]
+            n = [len(s or ()) for s in gone]
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(chars, pa.int64()), pa.array(gone, batch.column(2).type), pa.array(clean, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_removed", "removed_chars", "spans", "text"])
 
     kind = "array<struct<start:int,length:int,group:bigint>>"

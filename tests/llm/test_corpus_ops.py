@@ -237,3 +237,18 @@ def test_pipeline(spark):
     assert len(set(texts.values())) >= 0.97 * len(texts)
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_every_passage_of_fifty_words_goes(spark):
+    """A passage anywhere in a line, or spread over short lines, goes whole; the rest of the text stays."""
+    rows = [(1, " ".join(prose(500, 200)))]
+    words = rows[0][1].split()
+    for k in range(40):
+        n = 50 + k % 20
+        own = [*prose(600 + k, 30 + k), *words[k : k + n], *prose(700 + k, 45)]
+        gap = "\n" if k % 4 == 3 else " "
+        rows.append((10 + k, (gap if k % 4 == 3 else " ").join(own)))
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0
+    for k in range(40):
+        assert got[10 + k].text.split() == [*prose(600 + k, 30 + k), *prose(700 + k, 45)], k
