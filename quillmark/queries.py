@@ -407,9 +407,7 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def regex_relations(spark: SparkSession, d: str) -> DataFrame:
-    inline = [(1, "Ana uses Redis. The API depends on Postgres because of history; Bo met Cy and Dee likes tea after lunch."), (2, None), (3, "Mr. Kim works on Atlas, but nothing else")]
-    rows = spark.createDataFrame(inline, "id long, text string")
-    return consolidate.regex_relations(rows, "id")
+    return consolidate.relation_candidates(model.evidence(spark, d), ["evidence_ref"], "speaker")
 
 
 @query

@@ -80,6 +80,42 @@ def test_regex_relations(spark):
     assert got == [("Ana", "uses", "Redis"), ("The API", "depends_on", "Postgres")]
 
 
+def test_relation_candidates(spark):
+    texts = {
+        1: "Ana uses Redis. The API depends on Postgres because of history; Bo met Cy and Dee likes tea after lunch.",
+        2: None,
+        3: "I went to Old Chapel and she thinks him",
+        4: "Read the green book. They encourage Gina",
+        5: "We learned from Master Lee; Kim criticized our roadmap in public",
+        6: "You said hello there, but I want a pony",
+        7: "It looks bright when visited",
+    }
+    df = spark.createDataFrame([(k, "user", t) for k, t in texts.items()], "id long, who string, text string")
+    got = [(r.id, r.kind, r.type, r.source_hint, r.target_hint) for r in consolidate.relation_candidates(df, ["id"], "who").orderBy("id", "clause_no").collect()]
+    assert got == [
+        (1, "relation", "uses", "user", "Redis"),
+        (1, "relation", "depends_on", "user", "Postgres"),
+        (3, "relation", "visited", "user", "Old Chapel"),
+        (4, "relation", "read", "user", "green book"),
+        (4, "relation", "encourages", "user", "Gina"),
+        (5, "relation", "learns_from", "user", "Master Lee"),
+        (5, "relation", "criticizes", "user", "roadmap"),
+        (6, "claim", "interaction_hypothesis", "user", "hello there"),
+        (6, "claim", "subject_relation_to_node", "user", "pony"),
+        (7, "claim", "node_state_from_subject_perspective", "user", "bright"),
+    ]
+
+
+def test_relations_are_sought_in_all_conversations(spark):
+    from quillmark.plans import model
+    from quillmark.queries import QUERIES
+
+    ev = model.evidence(spark, "/root/testdata/sf0.001").where("text RLIKE '(?i)\\\\b(is|are|was|were|said) +[a-z]{5,} '")
+    got = QUERIES["regex_relations"](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and got.join(model.evidence(spark, "/root/testdata/sf0.001"), "evidence_ref", "left_anti").count() == 0
+    assert ev.join(got, "evidence_ref", "left_anti").count() <= 0.1 * ev.count()
+
+
 def test_components_and_paths(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcdxy"], "node_id string")
     edges = spark.createDataFrame([("1", "a", "b", 1), ("2", "b", "c", 1), ("3", "a", "d", 1), ("4", "d", "c", 1), ("5", "x", "x", 1)], "edge_id string, source string, target string, evidence_count long")
