@@ -571,3 +571,6 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     from .streaming.latest import stream_latest
 
     return stream_latest(spark, f"{d}/events.parquet")
+
+
+from . import service_queries  # noqa: E402, F401  (registers itself)
