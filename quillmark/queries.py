@@ -573,4 +573,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import service_queries  # noqa: E402, F401  (registers itself)
+from . import candidate_queries, service_queries  # noqa: E402, F401  (register themselves)
