@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import spans
 
 
 def context_envelope(rows: DataFrame, by: list[str], order: str, ref: str, text: str, width: int = 2) -> DataFrame:
@@ -26,28 +27,34 @@ def neighbour_ids(rows: DataFrame, by: list[str], order: str, ref: str) -> DataF
 
 
 def session_summaries(evidence: DataFrame) -> DataFrame:
-    """Per session: counts, participants, first three events and first five commitments of the target."""
+    """Per session: counts, participants, scope, first three events, and the target's first five commitments.
+
+    Events are the target's turns, or all where the target has none.  The firsts are ranked before
+    they are gathered, so a session of any length holds a few rows.
+    """
     user = F.col("subject_role") == "target"
     item = F.struct("turn", F.col("evidence_ref").alias("ref"))
-    first = lambda cond, n: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(cond, item))), 1, n), lambda x: x["ref"]), ",")
-    return evidence.groupBy("source_id").agg(
+    sums = evidence.groupBy("source_id").agg(
         F.count("*").alias("n_turns"),
         F.count_if(user).alias("n_target_turns"),
         F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("participants"),
-        first(user, 3).alias("main_events"),
-        first(user & T.is_commitment(F.col("text")), 5).alias("commitments"),
+        F.when(F.count_if(~user) == 0, "target_only").otherwise("mixed_participant").alias("subject_scope"),
     )
 
+    def firsts(rows: DataFrame, most: int, out: str) -> DataFrame:
+        ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("source_id").orderBy("turn", "evidence_ref"))).where(F.col("_rn") <= most)
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["ref"]), ",")
+        return ranked.groupBy("source_id").agg(listed.alias(out))
+
+    both = sums
+    for rows, most, out in ((evidence.where(user), 3, "_own"), (evidence, 3, "_any"), (evidence.where(user & T.is_commitment(F.col("text"))), 5, "commitments")):
+        both = both.join(firsts(rows, most, out), "source_id", "left")
+    return both.withColumn("main_events", F.coalesce("_own", "_any")).fillna("", ["commitments"]).drop("_own", "_any")
+
 
 def memory_units(evidence: DataFrame) -> DataFrame:
     """Accepted target turns with a class by keywords and a stable id; the rest stay candidates with a reason."""
-    low = F.lower("text")
-    kind = (
-        F.when(low.rlike(r"\b(prefer|like|love|enjoy|hate)\b"), "preference")
-        .when(low.rlike(r"\b(graduated|married|moved|retired|born)\b"), "life_stage")
-        .when(low.rlike(r"\b(usually|always|every day|weekly|often)\b"), "routine")
-        .otherwise("observation")
-    )
+    kind = spans.memory_class(F.col("text"), F.lit("episodic"))
     status = F.when((F.col("subject_role") == "target") & (F.trim("text") != ""), "accepted_for_experiment").otherwise("context_only")
     return evidence.select(
         T.stable_id("memory", F.col("evidence_ref"), n=16).alias("memory_id"),
@@ -55,30 +62,14 @@ def memory_units(evidence: DataFrame) -> DataFrame:
         "source_id",
         "turn",
         T.excerpt(F.col("text"), 220).alias("content"),
-        kind.alias("memory_class"),
+        kind["type"].alias("unit_type"),
+        kind["memory_class"].alias("memory_class"),
+        kind["scope"].alias("scope"),
         status.alias("status"),
         F.sha2("text", 256).alias("content_hash"),
     )
 
 
-def section_policy(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Section type by ordered rules, and its storage, retrieval and review policies."""
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    low = F.lower(t)
-    kind = (
-        F.when(t == "", "empty")
-        .when(F.contains(low, F.lit("licensed under")) | F.contains(low, F.lit("copyright")), "legal_notice")
-        .when(t.rlike(r"(?s)\|.*\|.*\|.*\|"), "table")
-        .when(t.rlike(r'^["“]'), "quotation")
-        .when(F.length(t) < 40, "heading")
-        .otherwise("body")
-    )
-    out = docs.withColumn("section_type", kind)
-    storage = F.when(F.col("section_type").isin("body", "quotation"), "ordinary_evidence").when(F.col("section_type") == "table", "reference_only").otherwise("excluded")
-    retrieval = F.when(storage == "ordinary_evidence", "retrievable").otherwise("background")
-    review = F.when(F.col("section_type").isin("quotation", "table"), "needs_review").otherwise("auto")
-    return out.withColumn("storage_policy", storage).withColumn("retrieval_policy", retrieval).withColumn("review_status", review)
-
 
 # Abbreviations whose stop ends no sentence.
 ABBREVIATIONS = frozenset("mr mrs ms dr prof st sr jr vs etc inc ltd co corp no vol fig eq al e.g i.e approx dept est jan feb mar apr jun jul aug sep sept oct nov dec".split())

@@ -129,46 +129,6 @@ def salience_route() -> Column:
     )
 
 
-# Term groups of the additive router.
-EVENT_TERMS = ("went", "met", "started", "finished", "bought", "lost", "won", "moved", "visited", "launched")
-ROLE_TERMS = ("manager", "friend", "teacher", "boss", "partner", "customer", "doctor", "mother", "father")
-LOGICAL_TERMS = ("because", "therefore", "however", "although", "unless", "if")
-IMPORTANCE_TERMS = ("important", "must", "never", "always", "urgent", "critical", "risk")
-PRONOUN_TERMS = ("he", "she", "they", "it", "this", "that")
-
-
-def additive_score(spans: DataFrame, task: str = "s1", text: str = "text") -> DataFrame:
-    """The first router's additive score, capped at 12, and its route."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    tokens = T.rough_token_count(t)
-    counts = {n: T.term_count(t, terms) for n, terms in (("event", EVENT_TERMS), ("role", ROLE_TERMS), ("logical", LOGICAL_TERMS), ("importance", IMPORTANCE_TERMS), ("pronoun", PRONOUN_TERMS))}
-    one = lambda cond, n=1: F.when(cond, n).otherwise(0)
-    dense = lambda n, floor: one(T.per_100(counts[n], tokens) >= floor)
-    marks = F.regexp_count(t, F.lit("[,;:.!?]"))
-    score = (
-        one(F.length(t) > 260)
-        + one(tokens > 65)
-        + F.least(F.lit(2), F.floor(marks / 2))
-        + F.least(F.lit(2), counts["event"])
-        + one(counts["role"] > 0, 2)
-        + one(counts["pronoun"] >= 2)
-        + one(counts["logical"] > 0)
-        + one(counts["importance"] > 0, 2)
-        + dense("event", 2.0)
-        + dense("role", 1.0)
-        + dense("logical", 1.0)
-        + dense("importance", 1.0)
-    )
-    if task == "graph":
-        score = score + one((counts["role"] > 0) | (counts["logical"] > 0), 1) + 1
-    elif task in ("s2", "support"):
-        score = score + 1
-    score = F.least(F.lit(12), score).cast("long")
-    coarse = (F.length(t) > 900) | (tokens > 180)
-    route = F.when(coarse, "split_or_segment_first").when(score <= 1, "script").when(score <= 4, "weak").when(score <= 7, "strong").otherwise("human")
-    return spans.withColumn("route_score", score).withColumn("route", route)
-
-
 # Word groups of the deterministic proposal provider.
 VALUE_WORDS, PROCEDURE = r"prefer|love|enjoy|need|want", r"usually|always|workflow|process|procedure"
 EPISODE = r"plan|goal|start|build|lost|launched"

@@ -108,28 +108,11 @@ EVIDENCE = """SELECT 'evidence:conv:' || conv_id || ':' || turn AS evidence_ref,
   CASE WHEN role = 'user' THEN 'allowed' ELSE 'context_only' END AS s2_policy, coalesce(text, '') AS text FROM conversations"""
 EV = f"WITH ev AS ({EVIDENCE}) "
 ORACLES["evidence_rows"] = EV + "SELECT * EXCLUDE (text), sha256(text) AS content_hash FROM ev"
-ORACLES["memory_units"] = EV + rf"""SELECT 'memory:' || substr(sha256(evidence_ref), 1, 16) AS memory_id, evidence_ref, source_id, turn,
-  CASE WHEN length(f) > 220 THEN rtrim(substr(f, 1, 217)) || '...' ELSE f END AS content,
-  CASE WHEN regexp_matches(w, ' (prefer|like|love|enjoy|hate) ') THEN 'preference' WHEN regexp_matches(w, ' (graduated|married|moved|retired|born) ') THEN 'life_stage'
-       WHEN regexp_matches(w, ' (usually|always|every day|weekly|often) ') THEN 'routine' ELSE 'observation' END AS memory_class,
-  CASE WHEN subject_role = 'target' AND trim(text) <> '' THEN 'accepted_for_experiment' ELSE 'context_only' END AS status, sha256(text) AS content_hash
-FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f, ' ' || regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]', ' ', 'g') || ' ' AS w FROM ev)""".replace("{{", "{").replace("}}", "}")
-_commit = f"regexp_matches(lower(text), '{'|'.join(w.replace(chr(39), chr(39) * 2) for w in T.COMMITMENT)}')"
-ORACLES["session_summaries"] = EV + f"""SELECT source_id, count(*) AS n_turns, count(*) FILTER (subject_role = 'target') AS n_target_turns,
-  array_to_string(list_sort(list(DISTINCT speaker)), ',') AS participants,
-  coalesce(array_to_string(list_slice(list(evidence_ref ORDER BY turn) FILTER (subject_role = 'target'), 1, 3), ','), '') AS main_events,
-  coalesce(array_to_string(list_slice(list(evidence_ref ORDER BY turn) FILTER (subject_role = 'target' AND {_commit}), 1, 5), ','), '') AS commitments
-FROM ev GROUP BY source_id"""
 ORACLES["context_envelope"] = EV + """SELECT evidence_ref, coalesce(array_to_string(list(evidence_ref) OVER (PARTITION BY source_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ','), '') AS context_before,
   coalesce(array_to_string(list(evidence_ref) OVER (PARTITION BY source_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ','), '') AS context_after
 FROM ev WHERE trim(text) <> ''"""
 ORACLES["neighbour_ids"] = EV + """SELECT evidence_ref, lag(evidence_ref) OVER w AS prev_ref, lead(evidence_ref) OVER w AS next_ref, 'S' || lpad(row_number() OVER w || '', 4, '0') AS unit_no
 FROM ev WINDOW w AS (PARTITION BY source_id ORDER BY turn)"""
-ORACLES["section_policy"] = r"""WITH k AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(lower(text), 'licensed under') OR contains(lower(text), 'copyright') THEN 'legal_notice'
-  WHEN regexp_matches(text, '(?s)\|.*\|.*\|.*\|') THEN 'table' WHEN regexp_matches(trim(text), '^["“]') THEN 'quotation' WHEN length(trim(text)) < 40 THEN 'heading' ELSE 'body' END AS section_type FROM documents),
-s AS (SELECT *, CASE WHEN section_type IN ('body', 'quotation') THEN 'ordinary_evidence' WHEN section_type = 'table' THEN 'reference_only' ELSE 'excluded' END AS storage_policy FROM k)
-SELECT *, CASE WHEN storage_policy = 'ordinary_evidence' THEN 'retrievable' ELSE 'background' END AS retrieval_policy,
-  CASE WHEN section_type IN ('quotation', 'table') THEN 'needs_review' ELSE 'auto' END AS review_status FROM s"""
 
 # --- retrieval
 
@@ -301,12 +284,6 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, 0::BIGINT A
 
 # --- routing
 
-_cnt = lambda terms: " + ".join(f"len(regexp_extract_all(low, ' {t} '))" for t in terms)
-ORACLES["route_additive"] = f"""WITH t AS (SELECT conv_id, turn, {TXT} AS x, ' ' || replace(regexp_replace(lower({TXT}), '[^a-z0-9_]', ' ', 'g'), ' ', '  ') || ' ' AS low, {ROUGH} AS n, len(regexp_extract_all({TXT}, '[,;:.!?]')) AS marks FROM conversations),
-c AS (SELECT *, {_cnt(routing.EVENT_TERMS)} AS ev, {_cnt(routing.ROLE_TERMS)} AS ro, {_cnt(routing.LOGICAL_TERMS)} AS lo, {_cnt(routing.IMPORTANCE_TERMS)} AS im, {_cnt(routing.PRONOUN_TERMS)} AS pr FROM t),
-d AS (SELECT *, CASE WHEN n > 0 THEN round(ev / n * 100, 4) ELSE 0 END AS de, CASE WHEN n > 0 THEN round(ro / n * 100, 4) ELSE 0 END AS dr, CASE WHEN n > 0 THEN round(lo / n * 100, 4) ELSE 0 END AS dl, CASE WHEN n > 0 THEN round(im / n * 100, 4) ELSE 0 END AS di FROM c),
-s AS (SELECT *, least(12, (length(x) > 260)::INT + (n > 65)::INT + least(2, marks // 2) + least(2, ev) + 2 * (ro > 0)::INT + (pr >= 2)::INT + (lo > 0)::INT + 2 * (im > 0)::INT + (de >= 2)::INT + (dr >= 1)::INT + (dl >= 1)::INT + (di >= 1)::INT)::BIGINT AS route_score FROM d)
-SELECT conv_id, turn, route_score, CASE WHEN length(x) > 900 OR n > 180 THEN 'split_or_segment_first' WHEN route_score <= 1 THEN 'script' WHEN route_score <= 4 THEN 'weak' WHEN route_score <= 7 THEN 'strong' ELSE 'human' END AS route FROM s"""
 _clamp = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})), 3)"
 _wb = " || ".join(["' '", "replace(regexp_replace(lower({0}), '[^a-z0-9_]', ' ', 'g'), ' ', '  ')", "' '"])
 ORACLES["route_salience"] = rf"""WITH t AS (SELECT conv_id, turn, {TXT} AS x, {ROUGH} AS n, {SENT} AS s, ' ' || replace(regexp_replace(lower({TXT}), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' ', '  ') || ' ' AS low,
@@ -327,8 +304,6 @@ p AS (SELECT CASE WHEN kind IN ('semantic', 'procedural') THEN CASE WHEN subject
   WHEN kind IN ('model_uncertain', 'needs_human_review') THEN 'uncertain_pool' WHEN kind = 'reject' THEN CASE WHEN {_frac('evidence_ref', 'audit')} < 0.1 THEN 'reject_audit_sample' ELSE 'rejected' END ELSE 'schema_unknown_pool' END AS pool FROM k)
 SELECT pool, count(*) AS n FROM p GROUP BY pool"""
 ORACLES["hash_split"] = f"SELECT doc_id, CASE WHEN {_frac('doc_id', 'split')} < 0.8 THEN 'train' ELSE 'held_out' END AS part FROM documents"
-_add = ORACLES["route_additive"].replace("SELECT conv_id, turn, coalesce(text, '') AS x", "SELECT doc_id, quality, coalesce(text, '') AS x", 1).replace("FROM conversations", "FROM documents JOIN labels USING (doc_id)").replace("SELECT conv_id, turn, route_score,", "SELECT quality, route_score,")
-ORACLES["route_confusion"] = f"SELECT quality::BIGINT AS quality, route, count(*) AS n, round(count(*)::DOUBLE, 6) AS w FROM ({_add}) GROUP BY ALL"
 _grid = ", ".join(f"({float(a)}::DOUBLE, {float(b)}::DOUBLE)" for a in (1, 2, 4, 8, 16) for b in (2, 4, 8, 16, 32) if a <= b)
 ORACLES["policy_grid"] = f"""WITH r AS (SELECT {SENT} AS s, quality AS y FROM documents JOIN labels USING (doc_id)), g(floor, ceiling) AS (VALUES {_grid}),
 p AS (SELECT floor, ceiling, y, CASE WHEN s >= ceiling THEN 1 WHEN s < floor THEN 0 ELSE -1 END AS pred FROM r, g)

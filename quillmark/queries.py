@@ -114,16 +114,6 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     return model.evidence(spark, d).withColumn("content_hash", F.sha2("text", 256)).drop("text")
 
 
-@query
-def memory_units(spark: SparkSession, d: str) -> DataFrame:
-    return memory.memory_units(model.evidence(spark, d))
-
-
-@query
-def session_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return memory.session_summaries(model.evidence(spark, d))
-
-
 @query
 def context_envelope(spark: SparkSession, d: str) -> DataFrame:
     rows = memory.context_envelope(model.evidence(spark, d), ["source_id"], "turn", "evidence_ref", "text")
@@ -135,12 +125,6 @@ def neighbour_ids(spark: SparkSession, d: str) -> DataFrame:
     return memory.neighbour_ids(model.evidence(spark, d), ["source_id"], "turn", "evidence_ref").select("evidence_ref", "prev_ref", "next_ref", "unit_no")
 
 
-@query
-def section_policy(spark: SparkSession, d: str) -> DataFrame:
-    docs = memory.section_policy(model.table(spark, d, "documents"))
-    return docs.select("doc_id", "section_type", "storage_policy", "retrieval_policy", "review_status")
-
-
 @query
 def sentence_units(spark: SparkSession, d: str) -> DataFrame:
     return memory.sentence_units(model.table(spark, d, "documents"), "doc_id")
@@ -425,11 +409,6 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 # --- routing
 
 
-@query
-def route_additive(spark: SparkSession, d: str) -> DataFrame:
-    return routing.additive_score(conversations(spark, d)).select(*CONV, "route_score", "route")
-
-
 @query
 def route_salience(spark: SparkSession, d: str) -> DataFrame:
     rows = routing.salience_axes(conversations(spark, d)).withColumn("route", routing.salience_route())
@@ -457,12 +436,6 @@ def review_pools(spark: SparkSession, d: str) -> DataFrame:
     return ev.withColumn("pool", pool).groupBy("pool").agg(F.count("*").alias("n"))
 
 
-@query
-def route_confusion(spark: SparkSession, d: str) -> DataFrame:
-    docs = routing.additive_score(model.table(spark, d, "documents").join(model.table(spark, d, "labels"), "doc_id"))
-    return routing.confusion(docs.withColumn("quality", F.col("quality").cast("long")), "quality", "route")
-
-
 @query
 def policy_grid(spark: SparkSession, d: str) -> DataFrame:
     docs = model.table(spark, d, "documents").join(model.table(spark, d, "labels"), "doc_id").withColumn("s", T.sentence_count(F.col("text")))
@@ -573,4 +546,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import candidate_queries, service_queries  # noqa: E402, F401  (register themselves)
+from . import candidate_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
