@@ -18,15 +18,15 @@ NEGATORS = ("not", "no", "never", "none")
 BUCKETS = (("direct", 0.55), ("supporting", 0.25), ("weak", 0.10))
 
 
-def postings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, keys: list[str], text: str = "text", bag=T.bm25_bag) -> DataFrame:
     """(keys, n_tokens, term, tf) from the BM25 bag."""
-    bag = docs.select(*keys, T.bm25_bag(F.col(text)).alias("bag")).withColumn("n_tokens", F.size("bag").cast("long"))
+    bag = docs.select(*keys, bag(F.col(text)).alias("bag")).withColumn("n_tokens", F.size("bag").cast("long"))
     return bag.select(*keys, "n_tokens", F.explode("bag").alias("term")).groupBy(*keys, "n_tokens", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, text: str = "text", bag=T.bm25_bag) -> DataFrame:
     """One row: number of documents and their average length in tokens."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.bm25_bag(F.col(text)))).alias("avg_len"))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(bag(F.col(text)))).alias("avg_len"))
 
 
 def idf_table(post: DataFrame, stats: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def idf_table(post: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def bm25(queries: DataFrame, docs: DataFrame, keys: list[str], *, query_key: str = "query_id", query_text: str = "question") -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, keys: list[str], *, query_key: str = "query_id", query_text: str = "question", bag=T.bm25_bag) -> DataFrame:
     """(query, keys, bm25) of all matching pairs; a query term counts as often as the query has it."""
-    post, stats = postings(docs, keys), corpus_stats(docs)
-    asked = queries.select(query_key, F.explode(T.bm25_bag(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    post, stats = postings(docs, keys, bag=bag), corpus_stats(docs, bag=bag)
+    asked = queries.select(query_key, F.explode(bag(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     asked = asked.join(idf_table(post, stats), "term")
     length = F.col("n_tokens") / F.greatest(F.col("avg_len"), F.lit(1e-9))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
@@ -157,24 +157,3 @@ def reciprocal_rank_fusion(hits: DataFrame, *, by: list[str], unit: str = "unit_
         F.count_distinct("branch").alias("branch_count"),
         F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("branches"),
     )
-
-
-def feature_rerank(fused: DataFrame, by: list[str]) -> DataFrame:
-    """Blend of normalized fusion score with branch, evidence, kind, overlap and quality features.
-
-    Columns: rrf_score, branch_count, n_refs, kind, overlap (0..1), generic, weak, n_warnings.
-    """
-    best = F.max("rrf_score").over(Window.partitionBy(*by))
-    norm = F.when(best > 0, F.col("rrf_score") / best).otherwise(0.0)
-    kind = F.when(F.col("kind") == "edge", 0.09).when(F.col("kind") == "claim", 0.05).when(F.col("kind") == "community_report", 0.075).when(F.col("kind") == "node", -0.035).otherwise(0.0)
-    score = (
-        0.58 * norm
-        + F.least(F.lit(0.16), 0.055 * (F.col("branch_count") - 1))
-        + F.when(F.col("n_refs") > 0, 0.10).otherwise(-0.18)
-        + kind
-        + 0.07 * F.col("overlap")
-        - F.when(F.col("generic"), 0.18).otherwise(0.0)
-        - F.when(F.col("weak"), 0.08).otherwise(0.0)
-        - F.least(F.lit(0.14), 0.028 * F.col("n_warnings"))
-    )
-    return fused.withColumn("rerank_score", F.round(score, 6))

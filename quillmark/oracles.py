@@ -184,9 +184,6 @@ h AS (SELECT query_id, conv_id || ':' || turn AS unit_id, 'bm25' AS branch, rank
       UNION ALL SELECT query_id, conv_id || ':' || turn, 'direct', rank FROM ({top('b2', 's', 24, 'query_id, conv_id, turn')})),
 fused AS (SELECT query_id, unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf_score, count(DISTINCT branch) AS branch_count, array_to_string(list_sort(list(DISTINCT branch)), ',') AS branches FROM h GROUP BY ALL)"""
 ORACLES["rrf_fuse"] = f"WITH {RRF} SELECT * FROM fused"
-ORACLES["feature_rerank"] = f"""WITH {RRF} SELECT query_id, unit_id, round(0.58::DOUBLE * (rrf_score / max(rrf_score) OVER (PARTITION BY query_id)) + least(0.16::DOUBLE, 0.055::DOUBLE * (branch_count - 1)) + 0.10::DOUBLE
-  + CASE WHEN role = 'user' THEN 0.05::DOUBLE ELSE (-0.035)::DOUBLE END - CASE WHEN role = 'user' THEN 0::DOUBLE ELSE 0.08::DOUBLE END - 0.028::DOUBLE, 6) AS rerank_score
-FROM fused JOIN conversations ON unit_id = conv_id || ':' || turn"""
 ORACLES["dual_branch"] = f"WITH {RRF} SELECT query_id, count(*) FILTER (branches = 'bm25') AS bm25_only, count(*) FILTER (branches = 'direct') AS direct_only, count(*) FILTER (branch_count = 2) AS overlap FROM fused GROUP BY query_id"
 
 # --- property graph
@@ -251,14 +248,8 @@ i AS (SELECT a.community, relation_type, evidence_count FROM edges JOIN m a ON s
 e AS (SELECT community, count(*) AS n_edges, least(sum(evidence_count), 30) AS ev, count(DISTINCT relation_type) AS types FROM i GROUP BY community), n AS (SELECT community, count(*) AS n_nodes FROM m GROUP BY community)
 SELECT community, n_nodes, coalesce(n_edges, 0) AS n_edges, round(greatest(1.35::DOUBLE * coalesce(n_edges, 0) + 0.18::DOUBLE * coalesce(ev, 0) + 0.22::DOUBLE * n_nodes + 0.35::DOUBLE * coalesce(types / n_edges, 0), 0.1), 6) AS activation, 'clean_candidate' AS quality FROM n LEFT JOIN e USING (community)"""
 _w = lambda c, k="_": f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9{k}]+'), lambda x: x <> '')"
-ORACLES["seed_match"] = f"""WITH {G}, t AS (SELECT unnest(['red widget', 'ring', 'NATION_7', 'small']) AS term),
-s AS (SELECT term, node_id, (CASE WHEN lower(label) = lower(term) THEN 20 WHEN contains(lower(label), lower(term)) OR contains(lower(term), lower(label)) THEN 10 ELSE 0 END + 3 * len(list_distinct(list_intersect({_w('label')}, {_w('term')}))))::BIGINT AS score FROM nodes, t)
-SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, node_id)::INT AS rank FROM s WHERE score > 0 QUALIFY rank <= 3"""
 _q = "['red', 'widget', 'supplies', 'nation', '7']"
 _hits = lambda c: f"len(list_distinct(list_intersect({_w(c, '')}, {_q})))"
-ORACLES["neighbourhood_score"] = f"""WITH {G}, s AS (SELECT unnest(['supplier:1', 'supplier:2', 'nation:7', 'part:5']) AS id)
-SELECT edge_id, (2 * {_hits('a.label')} + 2 * {_hits('b.label')} + 3 * {_hits('relation_type')} + CASE WHEN source IN (SELECT id FROM s) AND target IN (SELECT id FROM s) THEN 8 ELSE 0 END + 2 + least(evidence_count, 3))::BIGINT AS score
-FROM edges JOIN nodes a ON source = a.node_id JOIN nodes b ON target = b.node_id WHERE source IN (SELECT id FROM s) OR target IN (SELECT id FROM s)"""
 
 # --- consolidation
 

@@ -246,17 +246,6 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.reciprocal_rank_fusion(a.unionByName(b), by=["query_id"])
 
 
-@query
-def feature_rerank(spark: SparkSession, d: str) -> DataFrame:
-    fused = rrf_fuse(spark, d)
-    turns = model.evidence(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("unit_id"), "subject_role")
-    rows = fused.join(turns, "unit_id").select(
-        "query_id", "unit_id", "rrf_score", "branch_count", F.lit(1).alias("n_refs"), F.when(F.col("subject_role") == "target", "claim").otherwise("node").alias("kind"),
-        F.lit(0.0).alias("overlap"), F.lit(False).alias("generic"), (F.col("subject_role") != "target").alias("weak"), F.lit(1).alias("n_warnings"),
-    )
-    return retrieval.feature_rerank(rows, ["query_id"]).select("query_id", "unit_id", "rerank_score")
-
-
 @query
 def dual_branch(spark: SparkSession, d: str) -> DataFrame:
     return rrf_fuse(spark, d).groupBy("query_id").agg(
@@ -348,19 +337,6 @@ def community_activation(spark: SparkSession, d: str) -> DataFrame:
     return graph.community_activation(members, edges)
 
 
-@query
-def seed_match(spark: SparkSession, d: str) -> DataFrame:
-    terms = spark.createDataFrame([("red widget",), ("ring",), ("NATION_7",), ("small",)], "term string")
-    return graph.seed_matches(model.graph_nodes(spark, d), terms).select("term", "node_id", F.col("score").cast("long").alias("score"), "rank")
-
-
-@query
-def neighbourhood_score(spark: SparkSession, d: str) -> DataFrame:
-    nodes = model.graph_nodes(spark, d)
-    seeds = nodes.where("node_id IN ('supplier:1', 'supplier:2', 'nation:7', 'part:5')").select("node_id")
-    return graph.neighbourhood_scores(model.graph_edges(spark, d), seeds, nodes, ["red", "widget", "supplies", "nation", "7"])
-
-
 # --- consolidation
 
 
@@ -546,4 +522,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import candidate_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
+from . import candidate_queries, graph_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
