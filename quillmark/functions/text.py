@@ -149,7 +149,8 @@ def readability(text: Column) -> dict[str, Column]:
         "fog": 0.4 * (per + 100 * hard / n),
         "smog": 1.043 * F.sqrt(hard * 30 / sentences) + 3.1291,
     }
-    return {k: F.when(n > 0, F.round(v, 4)).otherwise(F.lit(0.0)) for k, v in grades.items()}
+    # a touch above the half, so that engines that round a half differently agree
+    return {k: F.when(n > 0, F.round(v + 1e-9, 4)).otherwise(F.lit(0.0)) for k, v in grades.items()}
 
 
 def language_scores(text: Column) -> tuple[Column, Column]:

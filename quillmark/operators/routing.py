@@ -9,28 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Markers of the package router.
+# Patterns of the package router.
 ATTRIBUTION = r"\b(said|told|asked|wrote|heard|believe|believes|thought|claimed|according to)\b"
 CONTEXT = r"\b(because|although|though|however|therefore|but|while|when|after|before|if|unless|despite)\b"
 UPDATE = r"\b(change|changed|update|updated|replace|replaced|contradict|contradicts|conflict|conflicts|instead|no longer)\b"
 PRONOUN = r"\b(he|she|they|it|this|that|someone|something)\b"
+VERB_OBJECT = (
+    r"\b(?:uses?|using|used|depends?\s+on|works?\s+on|visited|visits?|met|supports?|criticizes?|replaced|replaces?|updated|updates?)\b"
+    r"\s+(?:a|an|the|this|that|my|your|his|her|our|their)?\s*[A-Za-z][^.;!?]{2,80}"
+)
+NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+COPULA = r"\b(?:is|are|was|were|made|found|led|joined|plays|taught|began|became|born|died|worked|located|based)\b"
+PREPOSITION = r"\b(?:to|with|from|on|in|at|for|by|about)\s+[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*"
+CJK_RELATION = r"[\x{4e00}-\x{9fff}]{2,}(?:使用|依赖|反对|支持|更新|替代|属于|位于|参加|负责)[\x{4e00}-\x{9fff}A-Za-z0-9_-]{1,}"
+CJK_TERM = r"[\x{4e00}-\x{9fff}]{2,8}"
+TITLED = r"\b(Mr|Mrs|Ms|Dr|Sir)\.?\s+[A-Z][a-z]+"
+SPEAKER = r"\bSpeaker\s+\d+\s*:"
+LOW_VALUE = (r"(?i)^\s*(thanks|thank you|ok|okay|yes|no|lol|haha|hmm|uh+)[!.?]*\s*$", r"(?i)^\s*(\d{4}|\w{3}\.\s+\d{1,2}(?:,\s+\d{4})?)[!.?]*\s*$")
 # Thresholds of the package route.
 PACKAGE_POLICY = {
     "evidence_min": 5.0,
     "low_skip_floor": 7.0,
     "low_skip_relation_ceiling": 3.0,
-    "surface": 6.0,
-    "endpoint": 4.0,
-    "direction": 5.0,
-    "attribution": 4.0,
-    "context": 5.0,
-    "strong_utility": 5.5,
-    "strong_context": 6.0,
-    "strong_attribution": 5.0,
-    "weak_relation": 3.5,
-    "weak_utility": 4.0,
-    "entity_endpoint": 3.0,
-    "entity_relation": 2.0,
+    "entity_endpoint_floor": 3.0,
+    "entity_relation_ceiling": 2.0,
+    "nlp_surface_floor": 6.0,
+    "nlp_endpoint_floor": 4.0,
+    "nlp_direction_floor": 5.0,
+    "nlp_attribution_ceiling": 4.0,
+    "nlp_context_ceiling": 5.0,
+    "strong_utility_floor": 5.0,
+    "strong_context_floor": 6.0,
+    "strong_attribution_floor": 5.0,
+    "strong_merge_floor": 6.0,
+    "weak_relation_floor": 3.5,
+    "weak_utility_floor": 4.0,
 }
 # Calibrated salience router (weights, then floors of the first-layer task).
 USEFUL = {"value": 0.944, "entity": 1.366, "domain": 1.015, "keyphrase": 0.567, "affect": 0.226}
@@ -42,51 +55,58 @@ def clamp(x: Column) -> Column:
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(pattern)).cast("double")
+    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
 def package_features(packets: DataFrame, text: str = "text") -> DataFrame:
-    """Ten scores of a packet (text, n_refs, n_sources, n_back, n_context), each 0 to 10."""
+    """Ten scores of a packet, each 0 to 10.
+
+    Columns: text, perspective, attribution_status, subject_role, input_kind, neighbour_warning, and the
+    numbers of references n_refs, n_sources, n_back, n_context.  Pattern counts come first, in a
+    projection of their own.
+    """
     t = T.squeeze(F.col(text))
-    names = F.size(F.array_distinct(T.found(t, r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")))
-    surface_hits = F.regexp_count(t, F.lit(r"\b(?:to|with|from|on|in|at|for|by|about)\s+[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*"))
-    low = F.when(t == "", 8.0).when((F.length(t) < 10) & ~t.rlike("[A-Za-z]"), 8.0).when(F.lower(t).rlike(r"^(thanks|thank you|ok|okay|yes|no|lol|haha|hmm|uh+)[!.?]*$"), 8.0).otherwise(0.0)
-    low = low + F.when((F.length(t) < 25) & (names < 2) & (surface_hits == 0), 2.0).otherwise(0.0)
-    endpoint = 2.0 + F.least(F.lit(5.0), names * 1.5) + F.when(surface_hits > 0, 1.0).otherwise(0.0) - F.when(F.lower(t).rlike(PRONOUN), 1.5).otherwise(0.0)
-    surface = F.least(F.lit(10.0), surface_hits * 6.0)
-    likely = surface * 0.45 + endpoint * 0.25 + 0.3 * F.least(F.length(t) / 40.0, F.lit(4.0)) + F.when(F.col("n_context") > 0, F.least(F.lit(1.5), F.col("n_context") * 0.3)).otherwise(0.0) + F.when(_count(t, UPDATE) > 0, 1.0).otherwise(0.0)
-    attributions = _count(t, ATTRIBUTION)
-    direction = surface - F.when(F.contains(t, F.lit("?")), 1.0).otherwise(0.0) - F.least(F.lit(3.0), attributions)
-    parts = F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit(r"(?<=[.!?;:])\s+|\s+(?:and|but|then|so)\s+")) + 1)
-    context = F.when(parts > 1, F.least(F.lit(5.0), (parts - 1) * 1.5)).otherwise(0.0) + F.least(F.lit(3.0), _count(t, CONTEXT) * 1.5) + F.least(F.lit(2.0), F.col("n_context") * 0.5)
-    attribution = F.least(F.lit(4.0), attributions * 2.0) + F.when(F.col("subject_role") != "target", 1.5).otherwise(0.0)
-    evidence = F.when(F.col("n_refs") > 0, 4.0).otherwise(0.0) + F.when(F.col("n_sources") > 0, 2.0).otherwise(0.0) + F.when(F.col("n_back") > 0, 3.0).otherwise(0.0) + F.when(t != "", 1.0).otherwise(0.0)
-    utility = likely * 0.4 + endpoint * 0.3 + evidence * 0.2 - low * 0.3
-    return packets.withColumns(
-        {
-            "surface": clamp(surface),
-            "endpoint": clamp(endpoint),
-            "likelihood": clamp(likely),
-            "direction": clamp(direction),
-            "context": clamp(context),
-            "attribution": clamp(attribution),
-            "evidence": clamp(evidence),
-            "low_value": clamp(low),
-            "utility": clamp(utility),
-        }
-    )
+    names = F.concat(T.found(t, NAME), T.found(t, CJK_TERM))
+    rows = packets.select(
+        "*", t.alias("_t"), F.size(F.array_distinct(names)).cast("double").alias("_names"), _count(t, NAME).alias("_proper"),
+        (_count(t, "(?i)" + VERB_OBJECT) + _count(t, PREPOSITION) + _count(t, CJK_RELATION)).alias("_plain"),
+        t.rlike("(?i)" + COPULA).alias("_copula"), t.rlike("(?i)" + PRONOUN).alias("_pronoun"), _count(t, "(?i)" + UPDATE).alias("_updates"),
+        _count(t, "(?i)" + ATTRIBUTION).alias("_said"), _count(t, "(?i)" + CONTEXT).alias("_linked"),
+        F.when(t == "", 0).otherwise(F.regexp_count(t, F.lit(r"(?<=[.!?;:])\s+|\s+(?:and|but|then|so)\s+")) + 1).alias("_clauses"),
+        _count(t, SPEAKER).alias("_turns"), F.size(F.array_distinct(T.found(t, SPEAKER))).cast("double").alias("_speakers"),
+    )
+    c, one = F.col, (lambda cond, n: F.when(cond, F.lit(n)).otherwise(F.lit(0.0)))
+    most = lambda top, x: F.least(F.lit(top), x)
+    rows = rows.withColumn("_hits", c("_plain") + one((c("_proper") >= 2) & c("_copula"), 1.0))
+    plain = ((F.length("_t") < 10) & ~c("_t").rlike(r"[A-Za-z\x{4e00}-\x{9fff}]")) | c("_t").rlike(LOW_VALUE[0]) | c("_t").rlike(LOW_VALUE[1])
+    low = one((c("_t") == "") | plain, 8.0) + one((F.length("_t") < 25) & (c("_names") < 2) & (c("_hits") == 0), 2.0)
+    endpoint = one(c("perspective") != "", 2.0) + most(5.0, c("_names") * 1.5) + most(3.0, c("_speakers") * 0.75) + one(c("_hits") > 0, 1.0) - one(c("_pronoun"), 1.5)
+    rows = rows.withColumn("_endpoint", endpoint).withColumn("_surface", most(10.0, c("_hits") * 6.0))
+    likely = c("_surface") * 0.45 + c("_endpoint") * 0.25 + 0.3 * most(4.0, F.length("_t") / 40.0) + F.when(c("_turns") >= 4, most(3.0, c("_turns") * 0.2)).otherwise(0.0) + one(c("n_context") > 0, 1.0) * most(1.5, c("n_context") * 0.3) + one(c("_updates") > 0, 1.0)
+    rows = rows.withColumn("_likely", likely)
+    direction = c("_surface") - one(F.contains("_t", F.lit("?")), 1.0) - most(3.0, c("_said"))
+    context = F.when(c("_clauses") > 1, most(5.0, (c("_clauses") - 1) * 1.5)).otherwise(0.0) + most(3.0, c("_linked") * 1.5) + most(2.0, c("n_context") * 0.5) + one(c("input_kind").isin("reviewed_portrait_unit", "proposal_outcome"), 0.5) + one(c("neighbour_warning"), 2.0)
+    attribution = one(~c("attribution_status").isin("strict", "source_text_only", "source", ""), 3.0) + most(4.0, c("_said") * 2.0) + one(~c("subject_role").isin("target", "target_subject", ""), 1.5)
+    evidence = one(c("n_refs") > 0, 4.0) + one(c("n_sources") > 0, 2.0) + one(c("n_back") > 0, 3.0) + one(c("_t") != "", 1.0)
+    utility = c("_likely") * 0.4 + c("_endpoint") * 0.3 + F.when(c("_turns") >= 4, most(2.0, c("_turns") * 0.15)).otherwise(0.0) + most(1.0, c("n_context") * 0.25) + one(c("input_kind").isin("reviewed_portrait_unit", "normalized_candidate", "proposal_outcome"), 1.5) + one(c("_updates") > 0, 2.0)
+    merge = one(c("_names") == 1, 2.0) + one(c("_t").rlike(TITLED), 1.0) + one((c("_endpoint") < 3.0) & (c("_names") > 0), 2.0)
+    scores = {"surface": c("_surface"), "endpoint": c("_endpoint"), "likelihood": c("_likely"), "direction": direction, "context": context, "attribution": attribution, "evidence": evidence, "low_value": low, "utility": utility, "merge": merge}
+    rows = rows.withColumns({k: clamp(v) for k, v in scores.items()})
+    return rows.drop(*[x for x in rows.columns if x.startswith("_")])
 
 
 def package_route(policy: dict[str, float] = PACKAGE_POLICY) -> Column:
     """The first rule that fits."""
     p, c = policy, F.col
+    clear = (c("surface") >= p["nlp_surface_floor"]) & (c("endpoint") >= p["nlp_endpoint_floor"]) & (c("direction") >= p["nlp_direction_floor"]) & (c("attribution") < p["nlp_attribution_ceiling"]) & (c("context") < p["nlp_context_ceiling"])
+    hard = (c("context") >= p["strong_context_floor"]) | (c("attribution") >= p["strong_attribution_floor"]) | (c("merge") >= p["strong_merge_floor"])
     return (
         F.when(c("evidence") < p["evidence_min"], "repair_or_review")
         .when((c("low_value") >= p["low_skip_floor"]) & (c("likelihood") < p["low_skip_relation_ceiling"]), "skip_or_background_only")
-        .when((c("surface") >= p["surface"]) & (c("endpoint") >= p["endpoint"]) & (c("direction") >= p["direction"]) & (c("attribution") < p["attribution"]) & (c("context") < p["context"]), "nlp_openie_candidate")
-        .when((c("utility") >= p["strong_utility"]) & ((c("context") >= p["strong_context"]) | (c("attribution") >= p["strong_attribution"])), "strong_llm_graph_extraction")
-        .when((c("likelihood") >= p["weak_relation"]) | (c("utility") >= p["weak_utility"]), "weak_llm_graph_extraction")
-        .when((c("endpoint") >= p["entity_endpoint"]) & (c("likelihood") < p["entity_relation"]), "entity_only")
+        .when(clear, "nlp_openie_candidate")
+        .when((c("utility") >= p["strong_utility_floor"]) & hard, "strong_llm_graph_extraction")
+        .when((c("likelihood") >= p["weak_relation_floor"]) | (c("utility") >= p["weak_utility_floor"]), "weak_llm_graph_extraction")
+        .when((c("endpoint") >= p["entity_endpoint_floor"]) & (c("likelihood") < p["entity_relation_ceiling"]), "entity_candidate_only")
         .otherwise("skip_or_background_only")
     )
 

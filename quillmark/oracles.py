@@ -88,12 +88,12 @@ WITH t AS (
          len(list_filter(ws, lambda w: {_syl} >= 3))::DOUBLE AS hard, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::DOUBLE AS let FROM t
 )
 SELECT doc_id,
-  CASE WHEN n > 0 THEN round(206.835 - 1.015 * (n / s) - 84.6 * syl / n, 4) ELSE 0 END AS flesch,
-  CASE WHEN n > 0 THEN round(0.39 * (n / s) + 11.8 * syl / n - 15.59, 4) ELSE 0 END AS kincaid,
-  CASE WHEN n > 0 THEN round(4.71 * let / n + 0.5 * (n / s) - 21.43, 4) ELSE 0 END AS ari,
-  CASE WHEN n > 0 THEN round(0.0588 * (let / n * 100) - 0.296 * (s / n * 100) - 15.8, 4) ELSE 0 END AS coleman_liau,
-  CASE WHEN n > 0 THEN round(0.4 * ((n / s) + 100 * hard / n), 4) ELSE 0 END AS fog,
-  CASE WHEN n > 0 THEN round(1.043 * sqrt(hard * 30 / s) + 3.1291, 4) ELSE 0 END AS smog
+  CASE WHEN n > 0 THEN round(206.835 - 1.015 * (n / s) - 84.6 * syl / n + 1e-9::DOUBLE, 4) ELSE 0 END AS flesch,
+  CASE WHEN n > 0 THEN round(0.39 * (n / s) + 11.8 * syl / n - 15.59 + 1e-9::DOUBLE, 4) ELSE 0 END AS kincaid,
+  CASE WHEN n > 0 THEN round(4.71 * let / n + 0.5 * (n / s) - 21.43 + 1e-9::DOUBLE, 4) ELSE 0 END AS ari,
+  CASE WHEN n > 0 THEN round(0.0588 * (let / n * 100) - 0.296 * (s / n * 100) - 15.8 + 1e-9::DOUBLE, 4) ELSE 0 END AS coleman_liau,
+  CASE WHEN n > 0 THEN round(0.4 * ((n / s) + 100 * hard / n) + 1e-9::DOUBLE, 4) ELSE 0 END AS fog,
+  CASE WHEN n > 0 THEN round(1.043 * sqrt(hard * 30 / s) + 3.1291 + 1e-9::DOUBLE, 4) ELSE 0 END AS smog
 FROM c"""
 _solid = rf"length(regexp_replace({TXT}, '\s+', '', 'g'))::DOUBLE"
 _share = lambda p: f"CASE WHEN {_solid} > 0 THEN round(len(regexp_extract_all({TXT}, '{p}')) / {_solid} * 10, 3) ELSE 0 END"
@@ -139,9 +139,9 @@ ORACLES["bm25_stats"] = f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM
 ORACLES["bm25_postings"] = f"WITH {BM25} SELECT conv_id, turn, len_ AS n_tokens, term, tf FROM post"
 ORACLES["bm25_topk"] = f"WITH {BM25}, r AS (SELECT query_id, conv_id, turn, round(bm25, 6) AS bm25 FROM bm) {top('r', 'bm25', 8, '*')}"
 ORACLES["lexical_direct_scan"] = f"WITH {LEX}, r AS (SELECT query_id, conv_id, turn, overlap, round(score, 6) AS score FROM lx) {top('r', 'score', 8, '*')}"
-ORACLES["cosine_topk"] = """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
-r AS (SELECT 0::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS cosine FROM embeddings, q WHERE vec_id <> 0)
-SELECT *, row_number() OVER (ORDER BY cosine DESC, vec_id)::INT AS rank FROM r WHERE cosine > 0 QUALIFY rank <= 10"""
+ORACLES["cosine_topk"] = """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
+r AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS cosine FROM embeddings, q WHERE vec_id <> query_id)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS rank FROM r WHERE cosine > 0 QUALIFY rank <= 10"""
 ORACLES["vector_check"] = "SELECT label, count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS bad_dims, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS mean_norm FROM embeddings GROUP BY label"
 _num = lambda h, a, n: f"('0x' || substr({h}, {a}, {n}))::BIGINT"
 ORACLES["hash_embed_wide"] = f"""WITH t AS (SELECT item_id, unnest(CASE WHEN len({bag()}) > 0 THEN {bag()} ELSE [text] END) AS tok FROM benchmark),
@@ -260,16 +260,7 @@ x AS (SELECT g.*, (SELECT arg_min(label, (-n, f)) FROM l WHERE l.k = g.key) AS l
 SELECT *, CASE WHEN merge_status = 'review_required' THEN 'review_required' WHEN entity_type IN ('project', 'event') AND n_candidates >= 2 THEN 'stable'
   WHEN entity_type = 'concept' AND len(regexp_split_to_array(label, '\s+')) >= 3 AND lower(label) = label THEN 'action_phrase' WHEN entity_type = 'concept' AND len(regexp_split_to_array(label, '\s+')) <= 2 THEN 'generic_fragment' ELSE 'candidate' END AS entity_quality_hint FROM x"""
 ORACLES["edge_groups"] = "SELECT l_suppkey AS source, l_returnflag AS relation_type, l_partkey AS target, count(DISTINCT l_orderkey) AS evidence_count, count(*) AS n_rows, 1.0::DOUBLE AS weight FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL"
-ORACLES["entity_resolution"] = rf"""WITH f AS (SELECT p_name AS label, p_type AS et, min(p_partkey) AS id FROM part GROUP BY ALL),
-w0 AS (SELECT et, id, list_sort(list_distinct(list_filter(string_split({key('label', '-', "[''’]")}, '-'), lambda x: x <> ''))) AS w FROM f), w AS (SELECT w, et, min(id) AS id FROM w0 GROUP BY w, et),
-p AS (SELECT a.id AS a, b.id AS b, a.et AS ta, b.et AS tb, a.w AS wa, b.w AS wb, len(list_intersect(a.w, b.w)) AS common FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) > 0),
-s AS (SELECT *, (common / greatest(len(wa), len(wb)) >= 0.5)::INT AS t, (common = least(len(wa), len(wb)))::INT AS c, (wa[-1] = wb[-1])::INT AS l, (ta = tb)::INT AS e FROM p)
-SELECT a, b, common::BIGINT AS common, 0::BIGINT AS contexts, round(least(1, 0.15::DOUBLE * e + 0.25::DOUBLE * t + 0.25::DOUBLE * c + 0.15::DOUBLE * l), 6) AS score FROM s WHERE t + c + l >= 2 AND score >= 0.5"""
-_schema = ", ".join(f"('{t}', '{t.replace('_', ' ')} {c} ering onst the thand')" for _, t, c in consolidate.RELATIONS)
 _sw = rf"list_filter(list_transform(regexp_extract_all(coalesce({{0}}, ''), '[0-9a-zA-Z\x{{{{4e00}}}}-\x{{{{9fff}}}}]+'), lambda x: lower(x)), lambda x: NOT regexp_full_match(x, '[0-9]+') AND (regexp_matches(x, '[\x{{{{4e00}}}}-\x{{{{9fff}}}}]') OR length(x) >= 3) AND x NOT IN ({_in(T.SCHEMA_STOPWORDS)}))"
-ORACLES["schema_retrieval"] = f"""WITH sc(relation_type, description) AS (VALUES {_schema}), d AS (SELECT relation_type, term, count(*) AS dtf FROM (SELECT relation_type, unnest({_sw.format('description')}) AS term FROM sc) GROUP BY ALL),
-n AS (SELECT count(*) AS n FROM sc), df AS (SELECT term, count(*) AS df FROM d GROUP BY term), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_sw.format('text')}) AS term FROM benchmark) GROUP BY ALL)
-SELECT query_id, relation_type, round(sum((1 + ln(qtf)) * (1 + ln(dtf)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1)), 6) AS score FROM q JOIN d USING (term) JOIN df USING (term), n GROUP BY ALL"""
 ORACLES["quality_gate"] = f"""WITH {G}, l AS (SELECT count(DISTINCT edge_id) AS unresolved FROM edges WHERE source NOT IN (SELECT node_id FROM nodes) OR target NOT IN (SELECT node_id FROM nodes))
 SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, 0::BIGINT AS missing_evidence, 0::BIGINT AS generic, any_value(unresolved) AS unresolved, 0.0::DOUBLE AS generic_ratio, CASE WHEN any_value(unresolved) > 0 THEN 'blocked' ELSE 'pass' END AS status FROM edges, l"""
 
@@ -315,7 +306,9 @@ ORACLES["change_detect"] = """SELECT o_orderkey, CASE WHEN b IS NULL THEN 'added
 (SELECT o_orderkey, o_orderstatus || '|' || o_custkey AS b FROM orders WHERE o_orderkey % 5 <> 0) FULL JOIN
 (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'Z' ELSE o_orderstatus END || '|' || o_custkey AS a FROM orders WHERE o_orderkey % 3 <> 0) USING (o_orderkey)"""
 ORACLES["rebuild_compare"] = f"SELECT change, count(*) AS n FROM ({ORACLES['change_detect']}) GROUP BY change"
-ORACLES["add_only_batch"] = "SELECT o_orderkey, o_custkey, 'id_already_registered' AS reject_reason FROM orders WHERE o_orderkey BETWEEN 400 AND 499"
+ORACLES["add_only_batch"] = """WITH b AS (SELECT l_orderkey * 2 AS o_orderkey, l_partkey AS o_custkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+m AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders) THEN 'id_already_registered' WHEN n > 1 THEN 'id_repeated_in_batch' END AS reject_reason FROM b)
+SELECT * FROM m WHERE reject_reason IS NOT NULL"""
 ORACLES["dependency_reverse_index"] = """SELECT dim, ref, count(DISTINCT unit) AS n_units, min(unit) AS first_unit FROM (
   SELECT 'part' AS dim, l_partkey::VARCHAR AS ref, l_orderkey AS unit FROM lineitem UNION ALL SELECT 'supplier', l_suppkey::VARCHAR, l_orderkey FROM lineitem UNION ALL SELECT 'flag', l_returnflag, l_orderkey FROM lineitem) WHERE ref IS NOT NULL GROUP BY ALL"""
 ORACLES["impact"] = EV + """, hit AS (SELECT * FROM ev WHERE conv_id % 10 = 3 OR (turn = 0 AND conv_id % 10 = 4))

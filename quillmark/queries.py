@@ -101,11 +101,6 @@ def capitalized_terms(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).select(*CONV, F.array_join(T.capitalized(F.col("text")), "|").alias("names"))
 
 
-@query
-def clause_split(spark: SparkSession, d: str) -> DataFrame:
-    return conversations(spark, d).select(*CONV, F.posexplode(T.clauses(F.col("text"))).alias("n", "clause")).withColumn("n", F.col("n").cast("long"))
-
-
 # --- evidence, memory, context
 
 
@@ -165,10 +160,14 @@ def lexical_direct_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vectors of one stated query vector."""
+    """Nearest vectors of the stated queries, every fiftieth vector, among all others.
+
+    The queries are a fixed share of the table, so they meet it in blocks of both sides.
+    """
     rows = model.table(spark, d, "embeddings")
-    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = rows.where("vec_id <> 0").join(F.broadcast(asked)).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = rows.hint("shuffle_replicate_nl").join(asked).where("vec_id <> query_id")
+    scored = pairs.select("query_id", "vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
     return retrieval.top_k(scored.where("cosine > 0"), 10, "cosine", ["vec_id"])
 
 
@@ -356,27 +355,11 @@ def edge_groups(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.edge_groups(li)
 
 
-@query
-def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    parts = model.table(spark, d, "part")
-    entities = parts.select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.col("p_type").alias("entity_type"))
-    firsts = entities.groupBy("label", "entity_type").agg(F.min("node_id").alias("node_id"))
-    contexts = parts.where("p_partkey < 0").select(F.col("p_partkey").alias("node_id"), F.col("p_brand").alias("context"))
-    return consolidate.resolution_scores(firsts, contexts)
-
-
 @query
 def regex_relations(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.relation_candidates(model.evidence(spark, d), ["evidence_ref"], "speaker")
 
 
-@query
-def schema_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    schema = spark.createDataFrame([(t, f"{t.replace('_', ' ')} {c} ering onst the thand") for _, t, c in consolidate.RELATIONS], "relation_type string, description string")
-    asked = model.questions(spark, d).select("query_id", F.col("question").alias("text"))
-    return consolidate.schema_scores(asked, schema)
-
-
 @query
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.quality_gate(model.graph_nodes(spark, d), model.graph_edges(spark, d))
@@ -391,13 +374,6 @@ def route_salience(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*CONV, "value", "entity", "keyphrase", "risk", "complexity", "low", "route")
 
 
-@query
-def package_route(spark: SparkSession, d: str) -> DataFrame:
-    packets = model.evidence(spark, d).withColumns({"n_refs": F.lit(1), "n_sources": F.lit(1), "n_back": F.lit(1), "n_context": F.least(F.col("turn"), F.lit(2))})
-    rows = routing.package_features(packets).withColumn("route", routing.package_route())
-    return rows.select("evidence_ref", "surface", "endpoint", "likelihood", "context", "attribution", "evidence", "utility", "route")
-
-
 @query
 def mock_proposals(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).select(*CONV, routing.mock_proposal(F.col("text")).alias("proposal"))
@@ -461,8 +437,11 @@ def rebuild_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def add_only_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All orders are registered; the batch holds a row an order line under twice its key, so most keys
+    repeat and half of them are known."""
     orders = model.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    _, rejected = maintain.append_batch(orders.where("o_orderkey < 500"), orders.where("o_orderkey BETWEEN 400 AND 700"), "o_orderkey")
+    batch = model.table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("o_orderkey"), F.col("l_partkey").alias("o_custkey"))
+    _, rejected = maintain.append_batch(orders, batch, "o_orderkey")
     return rejected
 
 
@@ -522,4 +501,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import candidate_queries, graph_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
+from . import candidate_queries, graph_queries, review_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)

@@ -205,3 +205,51 @@ _COMMIT = f"regexp_matches(lower(text), '{'|'.join(w.replace(chr(39), chr(39) *
 def session_summaries(spark: SparkSession, d: str) -> DataFrame:
     return memory.session_summaries(model.evidence(spark, d))
 
+
+
+_ASCII = r"regexp_replace(x, '[\p{L}\p{N}_]*[\x{C0}-\x{24F}][\p{L}\p{N}_]*', '_', 'g')"  # RE2 knows ASCII word boundaries only
+_RX = lambda p, i="": "'" + (i + p).replace("'", "''") + "'"
+_N = lambda p, i="": f"len(regexp_extract_all(t, {_RX(p, i)}))"
+_CLAMP = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})), 3)"
+_P = {k: f"{v}::DOUBLE" for k, v in routing.PACKAGE_POLICY.items()}
+_PACKAGE = rf"""k0 AS (SELECT evidence_ref, turn, speaker, {FLAT.replace(TXT, 'text')} AS x, least(turn, 2) AS n_context, subject_role, ['source_span', 'proposal_outcome', 'normalized_candidate'][conv_id % 3 + 1] AS input_kind,
+  ['strict', 'inferred', ''][(conv_id + turn) % 3 + 1] AS status, turn % 4 <> 3 AS has_source, conv_id % 9 = 0 AS neighbour FROM ev),
+k1 AS (SELECT *, {_ASCII} AS t FROM k0),
+k2 AS (SELECT *, len(list_distinct(regexp_extract_all(t, {_RX(routing.NAME)}))) AS nn, {_N(routing.NAME)} AS pc, {_N(routing.VERB_OBJECT, '(?i)')} + {_N(routing.PREPOSITION)} AS plain, regexp_matches(t, {_RX(routing.COPULA, '(?i)')}) AS cop,
+  regexp_matches(t, {_RX(routing.PRONOUN, '(?i)')}) AS pron, {_N(routing.UPDATE, '(?i)')} AS upd, {_N(routing.ATTRIBUTION, '(?i)')} AS said, {_N(routing.CONTEXT, '(?i)')} AS linked,
+  CASE WHEN x = '' THEN 0 ELSE len(regexp_extract_all(x, '[.!?;:]\s+|\s+(?:and|but|then|so)\s+')) + 1 END AS cl, {_N(routing.SPEAKER)} AS tn, len(list_distinct(regexp_extract_all(t, {_RX(routing.SPEAKER)}))) AS sp FROM k1),
+k3 AS (SELECT *, plain + (pc >= 2 AND cop)::INT AS hits FROM k2),
+k4 AS (SELECT *, CASE WHEN speaker <> '' THEN 2.0::DOUBLE ELSE 0 END + least(5.0::DOUBLE, nn * 1.5::DOUBLE) + least(3.0::DOUBLE, sp * 0.75::DOUBLE) + (hits > 0)::INT - 1.5::DOUBLE * pron::INT AS ep, least(10.0::DOUBLE, hits * 6.0::DOUBLE) AS sf,
+  CASE WHEN x = '' OR (length(x) < 10 AND NOT regexp_matches(x, '[A-Za-z]')) OR regexp_matches(x, {_RX(routing.LOW_VALUE[0])}) OR regexp_matches(x, {_RX(routing.LOW_VALUE[1])}) THEN 8.0::DOUBLE ELSE 0 END + CASE WHEN length(x) < 25 AND nn < 2 AND hits = 0 THEN 2 ELSE 0 END AS lo FROM k3),
+k5 AS (SELECT *, sf * 0.45::DOUBLE + ep * 0.25::DOUBLE + 0.3::DOUBLE * least(4.0::DOUBLE, length(x) / 40.0::DOUBLE) + CASE WHEN tn >= 4 THEN least(3.0::DOUBLE, tn * 0.2::DOUBLE) ELSE 0 END + least(1.5::DOUBLE, n_context * 0.3::DOUBLE) + (upd > 0)::INT AS lk FROM k4),
+k6 AS (SELECT evidence_ref, {_CLAMP('sf')} AS surface, {_CLAMP('ep')} AS endpoint, {_CLAMP('lk')} AS likelihood, {_CLAMP("sf - contains(x, '?')::INT - least(3.0::DOUBLE, said)")} AS direction,
+  {_CLAMP("CASE WHEN cl > 1 THEN least(5.0::DOUBLE, (cl - 1) * 1.5::DOUBLE) ELSE 0 END + least(3.0::DOUBLE, linked * 1.5::DOUBLE) + least(2.0::DOUBLE, n_context * 0.5::DOUBLE) + 0.5::DOUBLE * (input_kind = 'proposal_outcome')::INT + 2 * neighbour::INT")} AS context,
+  {_CLAMP("3 * (status = 'inferred')::INT + least(4.0::DOUBLE, said * 2.0::DOUBLE) + 1.5::DOUBLE * (subject_role <> 'target')::INT")} AS attribution, {_CLAMP("(4 + 2 * has_source::INT + 3 * has_source::INT + (x <> '')::INT)::DOUBLE")} AS evidence, {_CLAMP('lo')} AS low_value,
+  {_CLAMP("lk * 0.4::DOUBLE + ep * 0.3::DOUBLE + CASE WHEN tn >= 4 THEN least(2.0::DOUBLE, tn * 0.15::DOUBLE) ELSE 0 END + least(1.0::DOUBLE, n_context * 0.25::DOUBLE) + 1.5::DOUBLE * (input_kind <> 'source_span')::INT + 2 * (upd > 0)::INT")} AS utility,
+  {_CLAMP(f"(2 * (nn = 1)::INT + regexp_matches(t, {_RX(routing.TITLED)})::INT + 2 * (ep < 3 AND nn > 0)::INT)::DOUBLE")} AS merge FROM k5)"""
+
+
+@oracle(EV.rstrip() + f""", {_PACKAGE} SELECT *, CASE WHEN evidence < {_P['evidence_min']} THEN 'repair_or_review' WHEN low_value >= {_P['low_skip_floor']} AND likelihood < {_P['low_skip_relation_ceiling']} THEN 'skip_or_background_only'
+  WHEN surface >= {_P['nlp_surface_floor']} AND endpoint >= {_P['nlp_endpoint_floor']} AND direction >= {_P['nlp_direction_floor']} AND attribution < {_P['nlp_attribution_ceiling']} AND context < {_P['nlp_context_ceiling']} THEN 'nlp_openie_candidate'
+  WHEN utility >= {_P['strong_utility_floor']} AND (context >= {_P['strong_context_floor']} OR attribution >= {_P['strong_attribution_floor']} OR merge >= {_P['strong_merge_floor']}) THEN 'strong_llm_graph_extraction'
+  WHEN likelihood >= {_P['weak_relation_floor']} OR utility >= {_P['weak_utility_floor']} THEN 'weak_llm_graph_extraction' WHEN endpoint >= {_P['entity_endpoint_floor']} AND likelihood < {_P['entity_relation_ceiling']} THEN 'entity_candidate_only'
+  ELSE 'skip_or_background_only' END AS route FROM k6""")
+def package_route(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as packets of three kinds; one in four lacks source and raw references."""
+    c, t = F.col("conv_id"), F.col("turn")
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+    there = F.when(t % 4 != 3, 1).otherwise(0)
+    packets = model.evidence(spark, d).withColumns(
+        {
+            "perspective": F.col("speaker"),
+            "attribution_status": pick(("strict", "inferred", ""), c + t),
+            "input_kind": pick(("source_span", "proposal_outcome", "normalized_candidate"), c),
+            "neighbour_warning": c % 9 == 0,
+            "n_refs": F.lit(1),
+            "n_sources": there,
+            "n_back": there,
+            "n_context": F.least(t, F.lit(2)),
+        }
+    )
+    rows = routing.package_features(packets).withColumn("route", routing.package_route())
+    return rows.select("evidence_ref", "surface", "endpoint", "likelihood", "direction", "context", "attribution", "evidence", "low_value", "utility", "merge", "route")
