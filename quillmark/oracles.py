@@ -266,7 +266,7 @@ SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, 0::BIGINT A
 
 # --- routing
 
-_clamp = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})), 3)"
+_clamp = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})) + 1e-9::DOUBLE, 3)"
 _wb = " || ".join(["' '", "replace(regexp_replace(lower({0}), '[^a-z0-9_]', ' ', 'g'), ' ', '  ')", "' '"])
 ORACLES["route_salience"] = rf"""WITH t AS (SELECT conv_id, turn, {TXT} AS x, {ROUGH} AS n, {SENT} AS s, ' ' || replace(regexp_replace(lower({TXT}), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' ', '  ') || ' ' AS low,
   len(list_slice(list_sort(list_distinct(regexp_extract_all({TXT}, '[A-Z][a-z]+(?: [A-Z][a-z]+){{0,3}}'))), 1, 20)) AS names, len(list_distinct(list_filter({WORDS}, lambda w: length(w) >= 8))) AS long_ FROM conversations),

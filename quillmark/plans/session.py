@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint: end the lineage of an iteration in the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one (as in tests) gets its own.
+    The folder is ``spark.checkpoint.dir``; only a local session without one (as in tests) gets its own.
     """
     context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillmark-"))
     return df.checkpoint()

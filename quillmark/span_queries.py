@@ -210,7 +210,7 @@ def session_summaries(spark: SparkSession, d: str) -> DataFrame:
 _ASCII = r"regexp_replace(x, '[\p{L}\p{N}_]*[\x{C0}-\x{24F}][\p{L}\p{N}_]*', '_', 'g')"  # RE2 knows ASCII word boundaries only
 _RX = lambda p, i="": "'" + (i + p).replace("'", "''") + "'"
 _N = lambda p, i="": f"len(regexp_extract_all(t, {_RX(p, i)}))"
-_CLAMP = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})), 3)"
+_CLAMP = lambda x: f"round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, {x})) + 1e-9::DOUBLE, 3)"
 _P = {k: f"{v}::DOUBLE" for k, v in routing.PACKAGE_POLICY.items()}
 _PACKAGE = rf"""k0 AS (SELECT evidence_ref, turn, speaker, {FLAT.replace(TXT, 'text')} AS x, least(turn, 2) AS n_context, subject_role, ['source_span', 'proposal_outcome', 'normalized_candidate'][conv_id % 3 + 1] AS input_kind,
   ['strict', 'inferred', ''][(conv_id + turn) % 3 + 1] AS status, turn % 4 <> 3 AS has_source, conv_id % 9 = 0 AS neighbour FROM ev),
