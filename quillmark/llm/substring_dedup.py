@@ -8,6 +8,10 @@ one of least hash is taken, so two texts that share ``WINDOW + STEPS - 1`` = 50
 run in common, and the selected runs of a longer passage leave no gap.  Runs take part by equality,
 and what they cover is extended word by word as far as it agrees with the copy that stays.  Of each
 component the occurrence with the smallest (document, place) stays, all others are removed.
+Paragraphs are settled first; a run that touches a removed paragraph neither stays for others nor
+goes itself, so whatever is removed has a copy (or, of paragraphs, a linked one) that stands.
+Equality is that of 128 bits; of paragraphs or runs that share the first 64 of them and not the
+rest, one class takes part and the others are left alone.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small_batches, written
+from .common import bounded, free_name, scratch, small_batches, written
 from .near import MinMax, finish, near_components
 from .shingles import WordHashes, shingle_hashes
 
@@ -31,8 +35,8 @@ MIN_WORDS = 12
 WINDOW, STEPS, FIRST_RUN = 26, 25, 1 << 30
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_K = np.uint64(0x9E3779B97F4A7C15)
-UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, bands array<long>"
+_K, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, rest long, bands array<long>"
 #: Rows with arrays that are broadcast at most.
 WIDE_ROWS = 150_000
 
@@ -79,6 +83,13 @@ class Words:
             at = np.array(kept)
         return at, key[at]
 
+    def rest(self, at: np.ndarray) -> np.ndarray:
+        """Further 64 bits of the runs that begin at words ``at``."""
+        total = np.full(len(at), WINDOW, np.uint64)
+        for k in range(WINDOW):
+            total = total * _K2 + self.hash[at + k]
+        return finish(total)
+
     def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of the runs that begin at words ``at``."""
         start = self.place(self.first[at])
@@ -108,8 +119,8 @@ def line_sets(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def units(texts: DataFrame) -> DataFrame:
     """All paragraphs and selected runs of (doc_id, text_hash, text); band keys for paragraphs only."""
     small_batches(texts.sparkSession)
-    names = ["doc_id", "text_hash", "idx", "start", "length", "cls", "bands"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc_id", "text_hash", "idx", "start", "length", "cls", "rest", "bands"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax = WordHashes.shared(), MinMax(BANDS, ROWS)
@@ -122,13 +133,14 @@ def units(texts: DataFrame) -> DataFrame:
                 if lines:
                     keys = minmax.keys(minmax.values(*line_sets([w for _, _, w in lines])))
                     for k, (start, n, own) in enumerate(lines):
-                        out.append((i, h, k, start, n, xxhash.xxh3_64_intdigest(b"L" + own.tobytes()) - (1 << 63), keys[k]))
+                        out.append((i, h, k, start, n, *np.frombuffer(xxhash.xxh3_128_digest(b"L" + own.tobytes()), "<i8").tolist(), keys[k]))
                 at, key = words.runs()
                 if len(at):
                     start, n = words.spans(at)
-                    for k, row in enumerate(zip(start.tolist(), n.tolist(), key.view(np.int64).tolist(), strict=True), FIRST_RUN):
+                    rest = words.rest(at).view(np.int64)
+                    for k, row in enumerate(zip(start.tolist(), n.tolist(), key.view(np.int64).tolist(), rest.tolist(), strict=True), FIRST_RUN):
                         out.append((i, h, k, *row, None))
-            cols = list(zip(*out, strict=True)) or [()] * 7
+            cols = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return texts.mapInArrow(run, UNITS)
@@ -160,27 +172,51 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def removals(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, spans) of what goes; spans: (start, length, group), group the component's class."""
-    found = written(units(texts.where("doc_id IS NOT NULL")), "units")
-    place = F.struct("doc_id", "text_hash", "idx", "start", "length")
-    classes = found.groupBy("cls").agg(F.min(place).alias("keeper"), F.max(place).alias("last"), F.first("bands").alias("bands"))
-    classes = classes.withColumn("repeats", F.col("keeper") != F.col("last")).drop("last").where("bands IS NOT NULL OR repeats")
-    classes = written(classes, "paragraph-classes")
+    with scratch(texts.sparkSession) as kept:
+        found = written(units(texts.where("doc_id IS NOT NULL")), "units")
+        lines = _gone_lines(texts, found.where(F.col("idx") < FIRST_RUN), percent)
+        runs = _gone_runs(found.where(F.col("idx") >= FIRST_RUN).drop("bands"), lines)
+        both = lines.select("doc_id", "text_hash", "start", "length", "group").unionByName(_stretches(texts, runs))
+        kept.append(written(_spans(both, "start", "length", "group"), "removals"))
+    return kept[0]
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(cls, rest, n) of all classes; numbers only, so that counting needs no sort."""
+    return rows.groupBy("cls").agg(F.min("rest").alias("rest"), F.count("*").alias("n"))
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """Occurrences (cls, group, place) but the first of each group, with the place of that ``first``."""
+    place = F.struct(*UNIT_PLACE)
+    firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
+    return rows.join(bounded(written(firsts, "keepers"), 300_000), "group").where(place != F.col("first"))
+
+
+def _gone_lines(texts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Paragraphs that go: all but the first of each component of equal or linked ones."""
 
     def sets_of(candidates: DataFrame) -> DataFrame:
-        at = classes.join(candidates, classes["cls"] == candidates["node"]).select("node", "keeper.*")
-        return _sets(texts, at)
-
-    lines = classes.where("bands IS NOT NULL").select(F.col("cls").alias("node"), "bands")
-    comps = bounded(near_components(lines, sets_of, percent)).withColumnRenamed("node", "cls")
-    narrow = classes.select("cls", "keeper", "repeats")
-    grouped = narrow.join(comps, "cls", "left").where("repeats OR comp IS NOT NULL")
-    grouped = written(grouped.withColumn("group", F.coalesce("comp", "cls")).select("cls", "group", "keeper"), "repeated-classes")
-    keepers = grouped.groupBy("group").agg(F.min("keeper").alias("first"))
-    chosen = bounded(written(grouped.select("cls", "group").join(keepers, "group"), "keepers"), 300_000)
-    gone = found.select("cls", *UNIT_PLACE).join(chosen, "cls").where(place != F.col("first"))
-    gone = written(gone.select("doc_id", "text_hash", "idx", "start", "length", "group", "first"), "gone")
-    paragraphs = gone.where(F.col("idx") < FIRST_RUN).select("doc_id", "text_hash", "start", "length", "group")
-    return written(_spans(paragraphs.unionByName(_stretches(texts, gone.where(F.col("idx") >= FIRST_RUN))), "start", "length", "group"), "removals")
+        at = lines.join(candidates, lines["cls"] == candidates["node"]).groupBy("node").agg(F.min(F.struct("rest", *UNIT_PLACE)).alias("at"))
+        return _sets(texts, at.select("node", "at.doc_id", "at.text_hash", "at.start", "at.length"))
+
+    comps = near_components(lines.select(F.col("cls").alias("node"), "bands"), sets_of, percent, repeated=True)
+    chosen = _repeated(lines).join(comps.withColumnRenamed("node", "cls"), "cls", "left").where("n > 1 OR comp IS NOT NULL")
+    chosen = bounded(written(chosen.select("cls", "rest", F.coalesce("comp", "cls").alias("group")), "line-classes"))
+    rows = written(lines.drop("bands").join(chosen, ["cls", "rest"]).select("group", *UNIT_PLACE), "repeated-lines")
+    return written(_others(rows), "gone-lines")
+
+
+def _gone_runs(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Runs that go: all but the first of each class, of those that touch no paragraph that goes."""
+    chosen = bounded(written(_repeated(runs).where("n > 1").select("cls", "rest"), "run-classes"))
+    rows = written(runs.join(chosen, ["cls", "rest"]).select(F.col("cls").alias("group"), *UNIT_PLACE), "repeated-runs")
+    spans = _spans(lines, "start", "length").withColumnRenamed("spans", "gone")
+    rows = rows.join(bounded(written(spans, "gone-places"), WIDE_ROWS), ["doc_id", "text_hash"], "left")
+    end = F.col("start") + F.col("length")
+    touched = F.exists("gone", lambda g: (g["start"] < end) & (g["start"] + g["length"] > F.col("start")))
+    rows = written(rows.where(~F.coalesce(touched, F.lit(False))).drop("gone"), "standing-runs")
+    return written(_others(rows), "gone-runs")
 
 
 def _stretches(texts: DataFrame, gone: DataFrame) -> DataFrame:
@@ -292,13 +328,19 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     kind = "array<struct<start:int,length:int,group:bigint>>"
     joined = texts.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
+    small_batches(docs.sparkSession)
     return joined.mapInArrow(run, f"doc_id long, n_removed long, removed_chars long, spans {kind}, text string")
 
 
 def rewrite_documents(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """All rows and columns of ``docs`` (doc_id, text, ...), with repeats cut from the texts."""
+    """All rows and columns of ``docs`` (doc_id, text, ...), with repeats cut from the texts.
+
+    Null, empty and repeated rows as in ``dedup_substrings``; other columns come along, whatever
+    their names.  An empty table stays empty.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    gone = bounded(removals(texts, percent), WIDE_ROWS).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    names = [free_name(docs, f"cut_{c}") for c in ("id", "hash", "spans")]
+    gone = bounded(removals(texts, percent), WIDE_ROWS).toDF(*names)
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -309,5 +351,5 @@ def rewrite_documents(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
             cols[at] = pa.array([cut_spans(t, s) if s else t for t, s in zip(cols[at].to_pylist(), spans.to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
 
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").select(*docs.columns, "_spans")
-    return joined.mapInArrow(run, docs.schema)
+    joined = docs.join(gone, (F.col("doc_id") == F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], names[2]).mapInArrow(run, docs.schema)
