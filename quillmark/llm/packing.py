@@ -23,7 +23,7 @@ from . import common
 from .wordids import word_ids
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Sequences of a window, and text bytes that one task packs (fewer, larger tasks leave fewer padded ends).
+#: Sequences of a window, and stored bytes that one task packs (fewer, larger tasks leave fewer padded ends).
 WINDOW, TASK_BYTES = 512, 24 << 20
 
 
@@ -111,8 +111,7 @@ def pack(
     input is split into tasks, so a task that runs again gives the same pieces.
     """
     common.small_batches(docs.sparkSession)
-    size = common.text_bytes(docs, text_col)
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    tasks = common.parallel(docs.sparkSession, common.stored_bytes(docs), TASK_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).coalesce(tasks)
     end = np.array([end_id], dtype="<u4").tobytes()
 

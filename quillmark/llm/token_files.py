@@ -22,7 +22,7 @@ from . import common, files
 from .wordids import word_ids
 
 SEQ_LEN, BATCH_SEQS = 2048, 256
-#: Text bytes of one file.
+#: Stored bytes of a table that go to one file.
 FILE_BYTES = 32 << 20
 MANIFEST = "shard long, tokens_uri string, index_uri string, n_docs long, n_tokens long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, first_sequence long"
@@ -126,8 +126,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    size = common.text_bytes(docs, text_col)
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // file_bytes))
+    parts = common.parallel(spark, common.stored_bytes(docs), file_bytes)
     files.make_dir(folder)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     order = [F.col("i").asc_nulls_first(), F.xxhash64("t")]
