@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-A model of character n-grams is trained per language on every document labelled as good: counts,
+A model of character n-grams (order 6, so that it knows words) is trained per language on every document labelled as good: counts,
 continuation counts, discounts and interpolation weights are grouped and joined as tables keyed by
 n-gram.  The finished table is written in shards by key.  A batch of documents meets it by a merge
 join: its distinct n-grams, of all orders, are looked up shard by shard, so a task holds one batch
@@ -17,25 +17,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, new_path, small_batches, written
+from .common import bounded, free_name, new_path, scratch, small_batches, worker_state, written
 from .near import finish
 
-ORDER, BITS = 4, 16
+ORDER, BITS = 6, 10
 #: Rows of one shard of the model, and shards that a worker keeps in memory.
 SHARD_ROWS, KEPT_SHARDS = 1 << 19, 6
 #: The fence: median + SPREAD * (median - lower quantile) of log perplexity, within a language.  A text of n
 #: n-grams gets SLACK / sqrt(n) more, as its mean varies that much more.
-LOWER, SPREAD, SLACK = 0.1, 5.5, 1.5
-START, STOP, LAST = 2, 3, 0xFFFF
-GATHER = 1 << 21
+LOWER, SPREAD, SLACK = 0.25, 3.0, 1.5
+START, STOP, PLAIN = 2, 3, 900
+#: Distinct n-grams that a counting task gathers, and bytes of text that meet the shards together.
+GATHER, BLOCK_BYTES = 1 << 21, 4 << 20
 
 
 def points(text: str) -> np.ndarray:
-    """Code points with start and stop marks; those beyond 16 bits count as one symbol."""
-    body = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), LAST)
+    """Classes of code points with start and stop marks: each of the first 900 is its own, the others share 124."""
+    body = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    if len(body) and body.max() >= PLAIN:
+        body = np.where(body < PLAIN, body, PLAIN + body % ((1 << BITS) - PLAIN))
     return np.concatenate([np.full(ORDER - 1, START), body, [STOP]]).astype(np.uint64)
 
 
+def grams_of(context: str, last: str) -> int:
+    """The n-gram of the last symbols of ``context`` and ``last``."""
+    p = points(context)[ORDER - 1 : -1].tolist()
+    p = ([START] * ORDER + p)[1 - ORDER :] + [int(points(last)[ORDER - 1])]
+    return sum(x << BITS * (ORDER - 1 - k) for k, x in enumerate(p))
+
+
 def grams(text: str) -> np.ndarray:
     """The text's n-grams of highest order, one per character and one for the stop mark."""
     p = points(text)
@@ -151,100 +161,121 @@ def sharded(model: DataFrame) -> tuple[str, int]:
 
     path = new_path(model.sparkSession, "model-shards")
     keyed = model.mapInArrow(run, "shard int, key long, value double")
-    keyed.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    keyed.repartition(shards, "shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(path)
     return path, shards
 
 
 class Shards:
     """A worker's view of the model: a bounded number of shards as sorted arrays."""
 
-    _all: dict[str, Shards] = {}
-
     def __init__(self, path: str, n: int):
         self.path, self.n, self.kept = path, n, {}
 
     @classmethod
     def of(cls, path: str, n: int) -> Shards:
-        if path not in cls._all:
-            cls._all.clear()
-            cls._all[path] = cls(path, n)
-        return cls._all[path]
+        return worker_state(("model-shards", path), lambda: cls(path, n))
 
     def _load(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self.kept:
+        if k in self.kept:
+            self.kept[k] = self.kept.pop(k)  # used last
+        else:
             import pyarrow.dataset as ds
 
             from .files import open_fs
 
             fs, path = open_fs(f"{self.path}/shard={k}")
             if fs.get_file_info(path).type.name == "NotFound":
-                found = np.empty(0, np.uint64), np.empty(0)
+                found = np.empty(0, np.int64), np.empty(0)
             else:
                 rows = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "value"])
-                key = rows["key"].to_numpy().astype(np.uint64)
-                order = np.argsort(key)
-                found = key[order], rows["value"].to_numpy()[order]
+                key, value = rows["key"].to_numpy(), rows["value"].to_numpy()
+                if (key[1:] < key[:-1]).any():  # several files
+                    order = np.argsort(key)
+                    key, value = key[order], value[order]
+                found = key, value
             if len(self.kept) >= KEPT_SHARDS:
                 self.kept.pop(next(iter(self.kept)))
             self.kept[k] = found
         return self.kept[k]
 
     def join(self, keys: np.ndarray) -> np.ndarray:
-        """Values of the keys, NaN where the model has none."""
+        """Values of the keys, NaN where the model has none; every shard that they need is read once."""
         out = np.full(len(keys), np.nan)
-        shard = keys % np.uint64(self.n)
-        for k in range(self.n):
-            at = np.flatnonzero(shard == k)
+        shard = (keys % np.uint64(self.n)).astype(np.int32)
+        keys = keys.view(np.int64)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(self.n + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            at = order[edges[k] : edges[k + 1]]
             key, value = self._load(k)
-            if len(at) and len(key):
+            if len(key):
                 place = np.minimum(np.searchsorted(key, keys[at]), len(key) - 1)
                 out[at] = np.where(key[place] == keys[at], value[place], np.nan)
         return out
 
     def log_probability(self, code: np.ndarray, lang: str) -> np.ndarray | None:
-        """Of distinct n-grams of highest order, backing off where unseen; None for a language without a model."""
-        floor = self.join(table_key(np.zeros(1, np.uint64), lang, 8))[0]
+        """Of distinct n-grams of highest order, backing off where unseen; None for a language without a model.
+
+        The n-grams' shorter endings are taken once each, and all that is asked of the model at once.
+        """
+        import pandas as pd
+
+        tails, places = [code], []
+        for order in range(ORDER - 1, 0, -1):
+            place, tail = pd.factorize(tails[-1] & np.uint64((1 << BITS * order) - 1))
+            places.append(place)
+            tails.append(tail)
+        keys = [table_key(np.zeros(1, np.uint64), lang, 8)]
+        for order, tail in zip(range(ORDER, 0, -1), tails, strict=True):
+            keys.append(table_key(tail, lang, order))
+            keys.append(table_key(tail >> np.uint64(BITS), lang, order + 8) if order > 1 else keys[0])
+        values = np.split(self.join(np.concatenate(keys)), np.cumsum([len(k) for k in keys])[:-1])
+        floor = values[0][0]
         if np.isnan(floor):
             return None
-        out, open_, back = np.zeros(len(code)), np.arange(len(code)), np.zeros(len(code))
-        for order in range(ORDER, 0, -1):
-            tail = code[open_] & np.uint64((1 << BITS * order) - 1)
-            found = self.join(table_key(tail, lang, order))
-            seen = ~np.isnan(found)
-            out[open_[seen]] = found[seen] + back[open_[seen]]
-            open_ = open_[~seen]
-            if order > 1:
-                weight = self.join(table_key(tail[~seen] >> np.uint64(BITS), lang, order + 8))
-                back[open_] += np.nan_to_num(weight)
-        out[open_] = floor + back[open_]
-        return out
+        below = np.full(len(tails[-1]), floor)
+        for k in range(ORDER - 1, -1, -1):  # from single symbols up
+            own, back = values[1 + 2 * k], values[2 + 2 * k]
+            if k < ORDER - 1:
+                below = np.nan_to_num(back) + below[places[k]]
+            below = np.where(np.isnan(own), below, own)
+        return below
 
 
 def perplexities(docs: DataFrame, path: str, n: int) -> DataFrame:
     """(doc_id, lang, n_grams, log_perplexity) of all rows; null for empty texts and languages without trusted text."""
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batch: pa.RecordBatch, shards: Shards) -> pa.RecordBatch:
         import pandas as pd
 
-        shards = Shards.of(path, n)
+        size, value = np.zeros(len(batch), np.int64), np.full(len(batch), np.nan)
+        for lang, rows in _by_lang(batch.column(1)).items():
+            each = [grams(t) if (t := batch.column(2)[k].as_py()) else np.empty(0, np.uint64) for k in rows]
+            counts = np.array([len(g) for g in each])
+            if not counts.sum():
+                continue
+            place, distinct = pd.factorize(np.concatenate(each))
+            del each
+            logs = shards.log_probability(distinct, lang)
+            rows = np.array(rows)[counts > 0]
+            counts = counts[counts > 0]
+            size[rows] = counts
+            if logs is not None:
+                value[rows] = -np.add.reduceat(logs[place], np.cumsum(counts) - counts) / counts
+        cols = [batch.column(0), batch.column(1), pa.array(size), pa.array(value, mask=np.isnan(value))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "n_grams", "log_perplexity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, held, size = Shards.of(path, n), [], 0
         for batch in batches:
-            size, value = np.zeros(len(batch), np.int64), np.full(len(batch), np.nan)
-            for lang, rows in _by_lang(batch.column(1)).items():
-                texts = [batch.column(2)[k].as_py() or "" for k in rows]
-                each = [grams(t) if t else np.empty(0, np.uint64) for t in texts]
-                counts = np.array([len(g) for g in each])
-                if not counts.sum():
-                    continue
-                place, distinct = pd.factorize(np.concatenate(each))
-                logs = shards.log_probability(distinct, lang)
-                rows = np.array(rows)[counts > 0]
-                counts = counts[counts > 0]
-                size[rows] = counts
-                if logs is not None:
-                    value[rows] = -np.add.reduceat(logs[place], np.cumsum(counts) - counts) / counts
-            cols = [batch.column(0), batch.column(1), pa.array(size), pa.array(value, mask=np.isnan(value))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "n_grams", "log_perplexity"])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield score(pa.concat_batches(held), shards)
+                held, size = [], 0
+        if held:
+            yield score(pa.concat_batches(held), shards)
 
     texts = docs.select("doc_id", "lang", "text")
     return texts.mapInArrow(run, "doc_id long, lang string, n_grams long, log_perplexity double")
@@ -267,6 +298,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, *, lower: float = LOWER, s
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    with scratch(docs.sparkSession) as kept:
+        kept.append(written(_judged(texts, labels, lower, spread, slack), "quality"))
+    return kept[0]
+
+
+def _judged(texts: DataFrame, labels: DataFrame, lower: float, spread: float, slack: float) -> DataFrame:
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = bounded(written(trusted, "trusted"))
     counts = count_grams(texts.where("text <> ''").join(trusted, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), "text"))
@@ -288,5 +325,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     Of rows that share an id, all go if one is rejected.
     """
-    gone = written(judge_quality(docs, labels, **how).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(bounded(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = written(judge_quality(docs, labels, **how).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    return docs.join(bounded(gone), F.col("doc_id") == F.col(name), "left_anti")
