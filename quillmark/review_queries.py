@@ -11,11 +11,14 @@ from .oracles import FLAT
 from .plans import model, store
 from .service_queries import oracle
 
-_K = F.col("o_orderkey")
 HUMAN = ("approve_recommended", "approve_with_edit", "needs_more_evidence", "reject", "defer", "", "whatever")
 ACTIONS = (*review.ACTION_STATUS, "no_such_action")
 
 
+def _k() -> F.Column:
+    return F.col("o_orderkey")
+
+
 def _pick(values, k) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
 
@@ -23,15 +26,15 @@ def _pick(values, k) -> F.Column:
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """Orders as review items."""
     rows = model.table(spark, d, "orders")
-    allowed = F.when(_K % 4 == 0, F.array()).when(_K % 4 == 1, F.array(F.lit("accept_noop"), F.lit("defer"))).when(_K % 4 == 2, F.array(F.lit("reject_patch"), F.lit("accept_patch"), F.lit("defer"))).otherwise(F.array(*[F.lit(a) for a in ACTIONS]))
+    allowed = F.when(_k() % 4 == 0, F.array()).when(_k() % 4 == 1, F.array(F.lit("accept_noop"), F.lit("defer"))).when(_k() % 4 == 2, F.array(F.lit("reject_patch"), F.lit("accept_patch"), F.lit("defer"))).otherwise(F.array(*[F.lit(a) for a in ACTIONS]))
     return rows.select(
-        _K.alias("review_item_id"),
-        _pick(HUMAN, _K).alias("human_decision"),
-        _pick(ACTIONS, _K).alias("review_action"),
-        F.when(_K % 5 == 0, "accept_patch").otherwise("").alias("default_recommendation"),
+        _k().alias("review_item_id"),
+        _pick(HUMAN, _k()).alias("human_decision"),
+        _pick(ACTIONS, _k()).alias("review_action"),
+        F.when(_k() % 5 == 0, "accept_patch").otherwise("").alias("default_recommendation"),
         allowed.cast("array<string>").alias("allowed"),
-        _pick(("high", "medium", "low", "odd"), _K).alias("priority"),
-        F.when(_K % 3 == 0, "record_duplicate_noop").otherwise("update_unit").alias("patch_action"),
+        _pick(("high", "medium", "low", "odd"), _k()).alias("priority"),
+        F.when(_k() % 3 == 0, "record_duplicate_noop").otherwise("update_unit").alias("patch_action"),
         F.col("o_orderstatus").alias("stage"),
         F.substring("o_orderpriority", 1, 1).alias("layer"),
     )
@@ -98,8 +101,8 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
     orders, u = model.table(spark, d, "orders"), F.col("user_id")
     users = model.table(spark, d, "events").select("user_id").distinct()
     return review.review_overlay(
-        orders.where("o_orderstatus <> 'P'").select(_K.alias("id")),
-        orders.where("o_orderstatus = 'P'").select(_K.alias("id")),
+        orders.where("o_orderstatus <> 'P'").select(_k().alias("id")),
+        orders.where("o_orderstatus = 'P'").select(_k().alias("id")),
         orders.select((-F.col("o_custkey")).alias("id")),
         users.select(F.when(u % 5 == 0, -u).otherwise(u * 4 + 1).alias("id")),
         users.select(F.when(u % 3 == 0, -u).otherwise(u * 4 + 2).alias("id")),
@@ -303,7 +306,7 @@ SELECT asset, count(DISTINCT id) AS n_changed, CASE WHEN count(*) FILTER (change
 def stale_assets(spark: SparkSession, d: str) -> DataFrame:
     """Parts as assets that depend on orders, between two versions of the orders."""
     orders = model.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    before, after = orders.where("o_orderkey % 5 <> 0"), orders.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(_K % 11 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    before, after = orders.where("o_orderkey % 5 <> 0"), orders.where("o_orderkey % 3 <> 0").withColumn("o_orderstatus", F.when(_k() % 11 == 0, "Z").otherwise(F.col("o_orderstatus")))
     changes = maintain.compare_tables(before, after, "o_orderkey", ["o_orderstatus", "o_custkey"]).withColumnRenamed("o_orderkey", "id")
     uses = model.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("part:"), "l_partkey").alias("asset"))
     return review.stale_assets(changes, uses)
