@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,15 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops are ignored, repeated edges and either direction do no harm; without edges: no rows.
     """
+    with scratch(edges.sparkSession) as kept:
+        kept.append(_components(edges))
+    return kept[0]
+
+
+def _components(edges: DataFrame) -> DataFrame:
     ranked = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     left = written(edges.where("a <> b").select(ranked("a").alias("a"), ranked("b").alias("b")), "edges")
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        hooks = written(hooks.select("node", F.least("node", "m").alias("up")), "hooks")
+        hooks = bounded(written(hooks.select("node", F.least("node", "m").alias("up")), "hooks"))
         jump = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        hooks = written(hooks.join(jump, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "hooks")
+        hooks = bounded(written(hooks.join(jump, "up", "left").select("node", F.coalesce("top", "up").alias("up")), "hooks"))
         if labels is None:
             labels = hooks.select("node", F.col("up").alias("label"))
         else:
@@ -39,5 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
         left = written(left.where("a <> b").distinct(), "edges")
     if labels is None:
         return edges.sparkSession.createDataFrame([], "node long, comp long")
-    least = written(labels.groupBy("label").agg(F.min("node.v").alias("comp")), "least")
+    least = bounded(written(labels.groupBy("label").agg(F.min("node.v").alias("comp")), "least"))
     return written(labels.join(least, "label").select(F.col("node.v").alias("node"), "comp"), "components")

@@ -2,12 +2,13 @@
 
 Candidates of a bucket are never all its pairs.  Members are first compared with the bucket's
 smallest member, one bucket a member, then all buckets between still separate components.  What
-stays separate in a bucket is compared by sketches inside the join: each round takes members of all
-components but the bucket's largest (at most about ``PIVOTS`` of them) and matches them with the
-members of other components; only pairs whose sketches may belong to a link come out and are
-confirmed.  Rounds end when no untested pair of different components shares a bucket.  So components
-are those of all confirmed links between members of a common bucket, while a tight group of any
-size costs a few comparisons a member.
+stays separate goes through rounds.  In each the bucket's front, its largest component and a few
+further members (``GROWTH`` times as many each round), meets the others: whether one belongs to that
+component takes a semi-join, which gives a row a member and not a row a pair, and of the further
+members only true links come out.  Both conditions hold the full sets, so nothing has to be confirmed
+later.  The front has then met the whole bucket and leaves it; rounds end when no bucket has members
+of two components.  So components are those of all links between members of a common bucket, while
+the rows that are made follow the members, whatever the group.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, written
+from .common import bounded, scratch, written
 from .components import components
 
-PIVOTS = 4096
+#: Further members of a bucket's front grow by this factor a round, up to a number.
+GROWTH, PIVOTS = 8, 4096
+#: Set elements of a bucket's side that meet in one task; larger sides are dealt in blocks.
+BLOCK_ITEMS = 1 << 20
 #: Bands and rows whose values a sketch holds, and the slack of its comparison.
 SKETCH, QUICK_WORDS, DEVIATIONS = (72, 7), 12, 4.5
 
@@ -122,25 +126,40 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def linked(a: Column, b: Column, percent: int) -> Column:
+    """Whether two full sets have ``percent`` of their union in common."""
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+
+
+def near_in_size(a: Column, b: Column, percent: int) -> Column:
+    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``100 * |intersection| >= percent * |union|``, on the full sets."""
+    """The pairs (a, b) that are links, on the full sets."""
     pairs = written(pairs, "pairs")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    fits = 100 * both >= percent * (F.size("_a") + F.size("_b") - both)
-    sized = F.least(F.size("_a"), F.size("_b")) * 100 >= percent * F.greatest(F.size("_a"), F.size("_b"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(fits).select("a", "b"), "links")
+    sized = near_in_size(F.size("_a"), F.size("_b"), percent)
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(linked(F.col("_a"), F.col("_b"), percent)).select("a", "b"), "links")
 
 
-def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, *, repeated: bool = False) -> DataFrame:
     """(node, comp) for nodes linked with another.
 
-    ``nodes``: (node bigint, bands array<bigint>), one row per distinct set.
+    ``nodes``: (node bigint, bands array<bigint>); a row a set, or several if ``repeated``.
     ``sets_of`` takes the candidates (node) and returns (node, shingles array<bigint>) of them all.
     """
+    with scratch(nodes.sparkSession) as kept:
+        kept.append(_near_components(nodes, sets_of, percent, repeated))
+    return kept[0]
+
+
+def _near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, repeated: bool) -> DataFrame:
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    members = written(keyed.join(written(shared, "buckets"), "key"), "members")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
+    members = keyed.join(written(shared, "buckets"), "key")
+    members = written(members.distinct() if repeated else members, "members")
     wanted = written(members.select("node").distinct(), "candidates")
     sets = written(sets_of(bounded(wanted)), "sets")
     if sets.count() > wanted.count():  # repeated rows
@@ -159,31 +178,51 @@ def near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     if not more.isEmpty():
         links = links.unionByName(more)
         comps = components(links)
-    tested = members.where("node = pivot").select("key", "node")
-    turn = 0
+    left = members.where("node <> pivot").select("key", "node")  # the smallest members have met their buckets
+    full = written(sketches.join(sets, "node"), "full")
+    comps, turn = bounded(comps), 0
     while True:
         turn += 1
-        here = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        here = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        here = here.join(spread, "key").join(tested, ["key", "node"], "left_anti")
-        parts = written(here.groupBy("key", "comp").agg(F.count("*").alias("n")), "parts")
-        whole = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"))
-        whole = written(whole.where("comps > 1"), "open-buckets")
-        if whole.isEmpty():
+        here = written(here.join(spread, "key"), f"open-{turn}")
+        if here.isEmpty():
             return comps
-        here = written(here.join(whole, "key").join(sketches, "node"), "open-members")
-        minor = F.col("comp") != F.col("top.comp")
-        chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("top.n"))
-        here = here.withColumn("tries", minor & (chance < PIVOTS))
-        pivots = written(here.where("tries").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa")), "pivots")
-        pairs = here.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), "tries").join(pivots, "key")
-        once = ~F.col("tries") | (F.col("a") < F.col("b"))  # of two pivots one asks
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & once & may_link("sa", "sb", percent))
-        more = confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+        front, rest = _front(here, full, turn)
+        fits = may_link("sa", "sb", percent) & near_in_size(F.size("xa"), F.size("xb"), percent) & linked(F.col("xa"), F.col("xb"), percent)
+        one = front.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("comp").alias("ca"), F.col("node").alias("a"), "top", F.col("sketch").alias("sa"), F.col("shingles").alias("xa"))
+        other = rest.withColumnsRenamed({"sketch": "sb", "shingles": "xb"})
+        meet = (F.col("key") == F.col("_key")) & (F.col("block") == F.col("_block"))
+        joins = other.join(one.where("top"), meet & fits, "left_semi").select(F.col("top_comp").alias("a"), F.col("node").alias("b"))
+        once = ~F.col("pivot") | (F.col("a") < F.col("node"))  # of two members of the front one asks
+        among = other.join(one.where("NOT top"), meet & (F.col("ca") != F.col("comp")) & once & fits).select("a", F.col("node").alias("b"))
+        more = written(joins.unionByName(among).distinct(), f"links-{turn}")
+        left = rest.where("NOT pivot").select("key", "node").distinct()
         if not more.isEmpty():
             links = links.unionByName(more)
-            comps = components(links)
-        tested = written(tested.unionByName(pivots.select("key", F.col("a").alias("node"))), "tested")
+            comps = bounded(components(links))
+
+
+def _front(here: DataFrame, full: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """A round's front (key, block, node, comp, top, sketch, shingles), and what it meets, each block of a bucket once.
+
+    ``here``: (node, key, comp); ``full``: (node, sketch, shingles).  The rest holds all members outside
+    the largest component, those of the front among them (``pivot``), with ``top_comp``, the component
+    to which a hit belongs.
+    """
+    pivots = min(GROWTH ** (turn - 1), PIVOTS)
+    parts = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
+    rows = here.join(bounded(written(whole, "open-buckets")), "key").withColumn("top", F.col("comp") == F.col("most.comp"))
+    chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("most.n"))
+    rows = rows.withColumn("pivot", ~F.col("top") & (chance < pivots)).join(full, "node")
+    rows = written(rows.select("key", "node", "comp", F.col("most.comp").alias("top_comp"), "top", "pivot", "sketch", "shingles"), "open-members")
+    asked = rows.where("top OR pivot")
+    blocks = asked.groupBy("key").agg(F.ceil(F.sum(F.size("shingles").cast("long")) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    blocks = bounded(written(blocks, "blocks"))
+    front = asked.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rows.where("NOT top").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return front.select("key", "block", "node", "comp", "top", "sketch", "shingles"), rest.select("key", "block", "node", "comp", "pivot", "top_comp", "sketch", "shingles")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, small_batches, written
+from .common import bounded, free_name, scratch, small_batches, written
 from .near import MinMax, near_components
 from .shingles import WordHashes, shingle_hashes
 
@@ -81,6 +81,12 @@ def near_duplicates(
     ignored.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession) as kept:
+        kept.append(written(_classified(texts, percent, bands, rows, size), "near-duplicates"))
+    return kept[0]
+
+
+def _classified(texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
     signed = written(signatures(texts, bands=bands, rows=rows, size=size), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
@@ -91,7 +97,7 @@ def near_duplicates(
 
     comps = near_components(classes.select("node", "bands"), sets_of, percent)
     reps = written(classes.select("k1", "k2", "node").join(comps, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp")), "class-components")
-    joined = signed.join(reps, ["k1", "k2"], "left")
+    joined = signed.drop("bands").join(reps, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
     return joined.select(
         "doc_id",
@@ -101,18 +107,19 @@ def near_duplicates(
     )
 
 
-
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The documents of ``docs`` that stay, with all their columns: one of each component.
 
     Of repeated rows of a document that stays, one stays.  Rows with null id and texts without words
     all stay.
     """
-    marked = written(near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(bounded(marked), docs["doc_id"] == F.col("_gone"), "left_anti")
-    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
-    if twice.isEmpty():
+    gone, twice = free_name(docs, "gone"), free_name(docs, "twice")
+    marked = written(near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    left = docs.join(bounded(marked), F.col("doc_id") == F.col(gone), "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias(twice)).where(F.col(twice) > 1)
+    repeated = written(repeated.select(F.col("doc_id").alias(twice)), "repeated-ids")
+    if repeated.isEmpty():
         return left
-    again = F.col("doc_id") == F.col("_twice")
-    once = left.join(twice, again, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, again, "left_anti").unionByName(once)
+    again = F.col("doc_id") == F.col(twice)
+    once = left.join(repeated, again, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, again, "left_anti").unionByName(once)
