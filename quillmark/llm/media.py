@@ -140,8 +140,9 @@ def as_image(payload: Column) -> Column:
 def store_payloads(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Write (digest, media) to the shared folder and return the written table.
 
-    Payloads are content-addressed: a payload that stands in several tasks is stored by each under
-    the same digest, which spares a shuffle of all payloads; readers take any one of them.
+    Payloads are content-addressed: one that stands in several rows is stored by each under the same
+    digest, which spares a shuffle of all payloads; readers take any one of them.  Null counts as
+    empty, other columns are ignored, an empty table stores nothing.
     """
     whole = F.coalesce(F.col(payload_col), F.lit(b""))
     rows = payloads.select(padded(whole).alias("payload"))

@@ -5,22 +5,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import worker_state
 from .near import finish
 
 _K = np.uint64(0x9E3779B97F4A7C15)
-_shared: list[WordHashes] = []
 
 
 class WordHashes(dict):
     """A bounded cache from a word's bytes to its 64-bit hash."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     @staticmethod
     def shared() -> WordHashes:
-        if not _shared:
-            _shared.append(WordHashes())
-        return _shared[0]
+        return worker_state("word-hashes", WordHashes)
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_state
 
 #: Labelled rows that the model is fitted on at most (those of least seeded hash); buckets of hashed words.
 TRAIN_ROWS, BUCKETS = 10_000, 1 << 18
@@ -39,14 +39,12 @@ class WordBuckets(dict):
         return value
 
 
-_buckets = WordBuckets()
-
-
 def features(text: str | None) -> Counter:
     """Occurrences of each bucket in the whole text."""
     found: Counter = Counter()
+    buckets = worker_state("word-buckets", WordBuckets)
     for chunk, n in Counter((text or "").lower().split()).items():
-        found[_buckets[chunk]] += n
+        found[buckets[chunk]] += n
     return found
 
 
