@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -210,6 +211,12 @@ def test_mixing(spark, odd, which):
         assert abs(taken[s] - target[s]) <= max(3, 0.01 * target[s])
 
 
+def dice(a, b):
+    """Likeness of two texts' sets of paragraphs."""
+    x, y = ({p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t) if p} or {""} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_fingerprints(spark, odd, which):
     docs = (odd if which == "odd" else documents(spark)).select("doc_id", "text")
@@ -225,7 +232,7 @@ def test_fingerprints(spark, odd, which):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + nxt[:cut]
         r = next(r for r in got[i] if r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest())
-        assert r.n_chars == len(t) and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert r.n_chars == len(t) and r.near_next == pytest.approx(dice(t, nxt)) and r.near_edited == pytest.approx(dice(t, edited))
         assert (r.fingerprint == r.edited_fingerprint) == (t == edited)
         by_text[t].add(r.fingerprint)
         if t == nxt:
