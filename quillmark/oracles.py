@@ -255,7 +255,7 @@ _hits = lambda c: f"len(list_distinct(list_intersect({_w(c, '')}, {_q})))"  # no
 
 ORACLES["entity_groups"] = rf"""WITH c AS (SELECT p_partkey AS id, p_name AS label, CASE WHEN p_size > 45 THEN 'project' WHEN p_size < 3 THEN 'event' ELSE 'concept' END AS entity_type, {key('p_name', '-', "[''’]")} AS k FROM part),
 l AS (SELECT k, label, count(*) AS n, min(id) AS f FROM c GROUP BY ALL), t AS (SELECT k, entity_type, count(*) AS n, min(id) AS f FROM c GROUP BY ALL),
-g AS (SELECT k AS key, count(*) AS n_candidates, min(id) AS first_candidate, CASE WHEN count(DISTINCT CASE WHEN entity_type <> 'concept' THEN entity_type END) > 1 THEN 'review_required' ELSE 'merged' END AS merge_status FROM c WHERE k <> '' GROUP BY k),
+g AS (SELECT k AS key, count(*) AS n_candidates, min(id) AS first_candidate, CASE WHEN count(DISTINCT entity_type) > 1 THEN 'review_required' ELSE 'merged' END AS merge_status FROM c WHERE k <> '' GROUP BY k),
 x AS (SELECT g.*, (SELECT arg_min(label, (-n, f)) FROM l WHERE l.k = g.key) AS label, (SELECT arg_min(entity_type, (-n, f)) FROM t WHERE t.k = g.key) AS entity_type FROM g)
 SELECT *, CASE WHEN merge_status = 'review_required' THEN 'review_required' WHEN entity_type IN ('project', 'event') AND n_candidates >= 2 THEN 'stable'
   WHEN entity_type = 'concept' AND len(regexp_split_to_array(label, '\s+')) >= 3 AND lower(label) = label THEN 'action_phrase' WHEN entity_type = 'concept' AND len(regexp_split_to_array(label, '\s+')) <= 2 THEN 'generic_fragment' ELSE 'candidate' END AS entity_quality_hint FROM x"""
