@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, merkle, mixing, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filter
+from . import chat, cohort, common, lexical, media, merkle, mixing, near_dedup, packing, quality, substring_dedup, token_files, toxicity, url_filter
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -65,6 +65,24 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(common.table(spark, sf_dir, "documents"))
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.retention(common.table(spark, sf_dir, "clicks"), common.table(spark, sf_dir, "clients"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    marks = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") + 1).cast("int")).alias("role"), said.alias("text"))
+    with common.scratch(spark) as kept:
+        formatted = common.written(chat.format_conversations(table.unionByName(marks)), "chat")
+        kept.append(common.written(chat.digests(formatted), "chat-digests"))
+    return kept[0]
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,5 +96,8 @@ QUERIES = {
         op8_quality,
         op9_mixing,
         op10_merkle,
+        op11_retention,
+        op12_chat,
+        op13_lexical_search,
     )
 }
