@@ -72,7 +72,7 @@ def merge_turns(turns: Column) -> Column:
 def format_conversations(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row a conversation: ``formatted`` and ``loss``, the byte ranges (start, length) that a model learns.
 
-    Turns stand in the order of their number, null numbers first; equal numbers by role and text, so that
+    Turns stand in the order of their number, null numbers first; equal numbers by escaped role and text, so that
     repeated rows give the same text on every run, and each of them stays a turn.  Null roles and texts
     count as empty.  Rows without a conversation id are one conversation without id.  A conversation is
     one text, so it has to fit a row; texts are escaped and measured before they are gathered.  Other

@@ -20,6 +20,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: A side of a join is broadcast only up to this many rows and estimated bytes; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
+#: From here on the planner's size is no size: it stands for a table that it knows nothing of.
+UNKNOWN_BYTES = 1 << 58
+
 _own_dirs: dict[str, str] = {}
 _scopes: list[list[str]] = []
 _state: dict[Hashable, Any] = {}
@@ -135,5 +138,10 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def parallel(spark: SparkSession, size: int, task_bytes: int) -> int:
-    """Tasks for that many stored bytes, as many as there are cores at least."""
+    """Tasks for that many stored bytes, as many as there are cores at least.
+
+    A table that is no file has no size that the planner knows; it gets as many tasks as a shuffle.
+    """
+    if size >= UNKNOWN_BYTES:
+        return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return max(spark.sparkContext.defaultParallelism, min(-(-size // task_bytes), 1 << 20))

@@ -40,11 +40,11 @@ INDEX = "n_docs long, n_words long, ids array<long>, named array<boolean>, lengt
 FOUND = "item_id long, doc_id long, score long"
 
 
-def words(text: bytes) -> Iterator[list[bytes]]:
+def words(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
     """The terms of a UTF-8 text, a slice after the other."""
     folded, at = text.translate(_FOLD), 0
     while at < len(folded):
-        end = folded.find(b" ", at + SLICE)
+        end = folded.find(b" ", at + size)
         end = len(folded) if end < 0 else end
         yield folded[at:end].split()
         at = end
@@ -99,7 +99,7 @@ class _Shard:
         return pa.RecordBatch.from_arrays(sizes + lists, names=[x.split()[0] for x in INDEX.split(", ")])
 
 
-def build_index(docs: DataFrame, numbers: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, numbers: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row a shard: its documents with at least one term, and the lists of the numbered terms."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def build_index(docs: DataFrame, numbers: dict[bytes, int], id_col: str = "doc_i
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard.add(doc_id, text.as_py(), numbers)
-                if len(shard.ids) >= SHARD_DOCS or shard.words >= SHARD_WORDS:
+                if len(shard.ids) >= shard_docs or shard.words >= SHARD_WORDS:
                     yield shard.index()
                     shard = _Shard()
         if shard.ids:
@@ -151,12 +151,12 @@ def impacts(tf: np.ndarray, weight: np.ndarray, length: np.ndarray, n_docs: int,
     return weight * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
 
 
-def wand(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int, heap: _Heap, ids: np.ndarray, named: np.ndarray) -> int:
+def wand(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int, heap: _Heap, ids: np.ndarray, named: np.ndarray, window: int = WINDOW) -> int:
     """Rank a shard's documents for one query; ``lists`` are (documents, impacts, maximum impact).  Returns how many were scored."""
     lists = sorted(lists, key=lambda x: -x[2])
     top = np.array([x[2] for x in lists], np.int64)
     rest = np.append(np.cumsum(top[::-1])[::-1], 0)  # most that the terms from here on can give
-    low, width, scored = 0, WINDOW, 0
+    low, width, scored = 0, window, 0
     while low < n_docs:
         need = heap.least()
         leading = int((rest[:-1] >= need).sum())  # a document with none of these cannot get in
@@ -189,14 +189,14 @@ def wand(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int, heap: _He
     return scored
 
 
-def search(index: DataFrame, queries: Queries, top: int = TOP) -> DataFrame:
+def search(index: DataFrame, queries: Queries, top: int = TOP, window: int = WINDOW) -> DataFrame:
     """The best documents of each task's shards for every query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = [_Heap(top) for _ in queries.ids]
         for batch in batches:
             for row in range(batch.num_rows):
-                _search_shard(batch, row, queries, heaps)
+                _search_shard(batch, row, queries, heaps, window)
         for item, h in zip(queries.ids, heaps, strict=True):
             n = len(h.score)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +206,7 @@ def search(index: DataFrame, queries: Queries, top: int = TOP) -> DataFrame:
     return index.mapInArrow(run, FOUND)
 
 
-def _search_shard(batch: pa.RecordBatch, row: int, queries: Queries, heaps: list[_Heap]) -> None:
+def _search_shard(batch: pa.RecordBatch, row: int, queries: Queries, heaps: list[_Heap], window: int) -> None:
     get = lambda name: batch.column(name)[row].values.to_numpy(zero_copy_only=False)
     ids, named, lengths, terms, ends = get("ids"), get("named"), get("lengths"), get("terms"), get("ends")
     docs, tf = get("docs").astype(np.int64), get("tf").astype(np.int64)
@@ -222,7 +222,7 @@ def _search_shard(batch: pa.RecordBatch, row: int, queries: Queries, heaps: list
         here = place[wanted]
         here = here[(here >= 0) & (most[here] > 0)]
         if len(here):
-            wand([(docs[starts[k] : ends[k]], impact[starts[k] : ends[k]], int(most[k])) for k in here.tolist()], len(ids), heap, ids, named)
+            wand([(docs[starts[k] : ends[k]], impact[starts[k] : ends[k]], int(most[k])) for k in here.tolist()], len(ids), heap, ids, named, window)
 
 
 def document_frequencies(index: DataFrame) -> DataFrame:
@@ -237,24 +237,24 @@ def _best(found: DataFrame, by: list[str | Column], top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def _rank_block(docs: DataFrame, wanted: DataFrame, top: int) -> DataFrame:
+def _rank_block(docs: DataFrame, wanted: DataFrame, top: int, shard_docs: int, window: int) -> DataFrame:
     by_item: dict[int | None, list[bytes]] = {}
     for item, term in wanted.collect():
         by_item.setdefault(item, []).append(bytes(term))
     numbers = {t: k for k, t in enumerate(sorted({t for terms in by_item.values() for t in terms}))}
-    index = common.written(build_index(docs, numbers), "lexical-index")
+    index = common.written(build_index(docs, numbers, shard_docs=shard_docs), "lexical-index")
     n_docs, n_words = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     df = np.zeros(len(numbers), np.int64)
     for term, n in document_frequencies(index).collect():
         df[term] = n
     weights = np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df + 1))).astype(np.int64)
     terms = [np.array([numbers[t] for t in x], np.int64) for x in by_item.values()]
-    found = search(index, Queries(list(by_item), terms, weights, n_docs, max(n_words, 1)), top)
+    found = search(index, Queries(list(by_item), terms, weights, n_docs, max(n_words, 1)), top, window)
     parts = _best(found.withColumn("part", F.spark_partition_id() % MERGES), ["item_id", "part"], top)
     return common.written(_best(parts, ["item_id"], top).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "lexical-ranks")
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, *, top: int = TOP) -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, *, top: int = TOP, block_terms: int = BLOCK_TERMS, shard_docs: int = SHARD_DOCS, window: int = WINDOW) -> DataFrame:
     """The ``top`` documents with a score above 0 for every item, ranked from 1.
 
     Terms are runs of ASCII letters and digits and of characters beyond ASCII, of the whole text; only A-Z
@@ -266,9 +266,9 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, top: int = TOP) -> Data
     spark = docs.sparkSession
     with common.scratch(spark) as kept:
         pairs = common.written(query_terms(items), "query-terms")
-        blocks = max(1, -(-pairs.count() // BLOCK_TERMS))
+        blocks = max(1, -(-pairs.count() // block_terms))
         block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-        ranked = [_rank_block(docs, pairs.where(block == b), top) for b in range(blocks)]
+        ranked = [_rank_block(docs, pairs.where(block == b), top, shard_docs, window) for b in range(blocks)]
         kept += ranked
     out = ranked[0]
     for more in ranked[1:]:

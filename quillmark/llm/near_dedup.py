@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, free_name, scratch, small_batches, written
+from .components import components
 from .near import MinMax, near_components
 from .shingles import WordHashes, shingle_hashes
 
@@ -25,32 +26,32 @@ def shingle_set(words: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands): set size, 128-bit digest of the set, band keys (null for an empty set)."""
+    """(doc_id, h, n_shingles, k1, k2, bands) of (doc_id, h, text): set size, 128-bit digest of the set, band keys (null for an empty set)."""
     import xxhash
 
     small_batches(docs.sparkSession)
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minmax = WordHashes.shared(), MinMax(bands, rows)
         for batch in batches:
             out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = shingle_set(hashes.of_text(t.as_py()), size)
                 if not len(own):
-                    out.append((i, 0, None, None, None))
+                    out.append((i, h, 0, None, None, None))
                     continue
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 k1, k2 = np.frombuffer(digest, "<i8").tolist()
-                out.append((i, len(own), k1, k2, minmax.keys(minmax.values(own, np.zeros(1, np.int64)))[0]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                out.append((i, h, len(own), k1, k2, minmax.keys(minmax.values(own, np.zeros(1, np.int64)))[0]))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "h", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(node, shingles) of documents: the full sets."""
+def shingle_sets(texts: DataFrame, size: int = SIZE) -> DataFrame:
+    """(node, shingles) of (node, text): the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes.shared()
@@ -58,7 +59,7 @@ def shingle_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
             sets = [shingle_set(hashes.of_text(t.as_py()), size).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def near_duplicates(
@@ -81,24 +82,30 @@ def near_duplicates(
     ignored.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
     with scratch(docs.sparkSession) as kept:
         kept.append(written(_classified(texts, percent, bands, rows, size), "near-duplicates"))
     return kept[0]
 
 
 def _classified(texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
+    """Classes have numbers of their own, as an id may have several texts; ids join their classes at the end."""
     signed = written(signatures(texts, bands=bands, rows=rows, size=size), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands"))
+    classes = written(classes.select("k1", "k2", "rep.doc_id", "rep.h", "bands", F.monotonically_increasing_id().alias("node")), "classes")
 
     def sets_of(candidates: DataFrame) -> DataFrame:
-        chosen = texts.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        return shingle_sets(chosen, size)
+        chosen = written(classes.select("node", "doc_id", "h").join(candidates, "node", "left_semi"), "chosen")
+        return shingle_sets(texts.join(bounded(chosen), ["doc_id", "h"]), size)
 
     comps = near_components(classes.select("node", "bands"), sets_of, percent)
-    reps = written(classes.select("k1", "k2", "node").join(comps, "node", "left").select("k1", "k2", F.coalesce("comp", "node").alias("comp")), "class-components")
-    joined = signed.drop("bands").join(reps, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("comp", "doc_id"))
+    names = classes.select("node", "doc_id").join(comps, "node").groupBy("comp").agg(F.min("doc_id").alias("name"))
+    reps = classes.select("k1", "k2", "node", "doc_id").join(comps, "node", "left").join(bounded(written(names, "names")), "comp", "left")
+    reps = written(reps.select("k1", "k2", F.coalesce("name", "doc_id").alias("comp")), "class-components")
+    joined = written(signed.select("doc_id", "n_shingles", "k1", "k2").join(reps, ["k1", "k2"], "left").drop("k1", "k2"), "document-components")
+    joined = _united(joined)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
@@ -107,6 +114,17 @@ def _classified(texts: DataFrame, percent: int, bands: int, rows: int, size: int
     )
 
 
+def _united(joined: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, comp): the components that one id's several texts are in become one."""
+    several = joined.where("doc_id IS NOT NULL AND comp IS NOT NULL").groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("_most"))
+    several = written(several.where("a < _most").select("doc_id", "a"), "several")
+    if several.isEmpty():
+        return joined
+    roots = components(joined.join(several, "doc_id").select("a", F.col("comp").alias("b")).distinct())
+    roots = bounded(written(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "roots"))
+    return joined.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp"))
+
+
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The documents of ``docs`` that stay, with all their columns: one of each component.
 

@@ -86,14 +86,15 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), marked AS (
-  SELECT *, role IS DISTINCT FROM lag(role) OVER w AS head,
+  SELECT *, replace(replace(role, '\', '\b'), '<', '\l') AS r, replace(replace(text, '\', '\b'), '<', '\l') AS t,
+         role IS DISTINCT FROM lag(role) OVER w AS head,
          length(role) + len(regexp_extract_all(role, '[\\<]')) AS role_n, length(text) + len(regexp_extract_all(text, '[\\<]')) AS text_n
-  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, replace(replace(role, '\', '\b'), '<', '\l'), replace(replace(text, '\', '\b'), '<', '\l'))
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(text_n + CASE WHEN head THEN role_n + 6 + 6 + 8 ELSE 6 END)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id"""
 

@@ -272,3 +272,15 @@ def test_a_tight_group_mostly_out_of_reach(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
     assert sum(made) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_id_with_several_texts(spark, parts, turned):
+    """Links of any of an id's texts are links of the id, whatever the order of rows."""
+    a, b = (" ".join(f"{c}{k}" for k in range(300)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "something else of six words"), (4, a + " z"), (9, "alone here"), (9, None)]
+    rows = rows[::-1] if turned else rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
