@@ -74,12 +74,6 @@ def test_paragraphs(spark):
     assert [(r.unit_no, r.n_chars) for r in memory.paragraph_units(df, "id").orderBy("unit_no").collect()] == [("P0001", 700), ("P0002", 603)]
 
 
-def test_regex_relations(spark):
-    df = spark.createDataFrame([(1, "Ana uses Redis because it is fast. The API depends on Postgres")], "id long, text string")
-    got = [(r.source_hint, r.relation_type, r.target_hint) for r in consolidate.regex_relations(df, "id").orderBy("clause_no").collect()]
-    assert got == [("Ana", "uses", "Redis"), ("The API", "depends_on", "Postgres")]
-
-
 def test_relation_candidates(spark):
     texts = {
         1: "Ana uses Redis. The API depends on Postgres because of history; Bo met Cy and Dee likes tea after lunch.",
