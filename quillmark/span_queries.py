@@ -235,11 +235,16 @@ k6 AS (SELECT evidence_ref, {_CLAMP('sf')} AS surface, {_CLAMP('ep')} AS endpoin
   WHEN likelihood >= {_P['weak_relation_floor']} OR utility >= {_P['weak_utility_floor']} THEN 'weak_llm_graph_extraction' WHEN endpoint >= {_P['entity_endpoint_floor']} AND likelihood < {_P['entity_relation_ceiling']} THEN 'entity_candidate_only'
   ELSE 'skip_or_background_only' END AS route FROM k6""")
 def package_route(spark: SparkSession, d: str) -> DataFrame:
+    rows = routing.package_features(packages(spark, d)).withColumn("route", routing.package_route())
+    return rows.select("evidence_ref", "surface", "endpoint", "likelihood", "direction", "context", "attribution", "evidence", "low_value", "utility", "merge", "route")
+
+
+def packages(spark: SparkSession, d: str) -> DataFrame:
     """Turns as packets of three kinds; one in four lacks source and raw references."""
     c, t = F.col("conv_id"), F.col("turn")
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     there = F.when(t % 4 != 3, 1).otherwise(0)
-    packets = model.evidence(spark, d).withColumns(
+    return model.evidence(spark, d).withColumns(
         {
             "perspective": F.col("speaker"),
             "attribution_status": pick(("strict", "inferred", ""), c + t),
@@ -251,5 +256,3 @@ def package_route(spark: SparkSession, d: str) -> DataFrame:
             "n_context": F.least(t, F.lit(2)),
         }
     )
-    rows = routing.package_features(packets).withColumn("route", routing.package_route())
-    return rows.select("evidence_ref", "surface", "endpoint", "likelihood", "direction", "context", "attribution", "evidence", "low_value", "utility", "merge", "route")
