@@ -203,16 +203,11 @@ deg AS (SELECT node_id, count(dir) AS degree, coalesce(sum(evidence_count) FILTE
 ORACLES["graph_degrees"] = f"WITH {G} SELECT * FROM deg"
 
 
-def reach(cond: str) -> str:
-    return f"""lk AS (SELECT source AS a, target AS b FROM edges WHERE {cond} UNION SELECT target, source FROM edges WHERE {cond}),
-walk AS (SELECT node_id, node_id AS seen FROM nodes UNION SELECT w.node_id, lk.b FROM walk w JOIN lk ON w.seen = lk.a),
-comp AS (SELECT node_id, min(seen) AS component FROM walk GROUP BY node_id)"""
-
-
 ORACLES["graph_projection_stats"] = f"""WITH {G} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM deg WHERE degree = 0) AS isolates, count(*) AS n_edges,
   count(*) FILTER (source = target) AS self_loops, 1 + (SELECT count(*) FROM deg WHERE degree = 0) AS weak_components, round(count(*) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 8) AS density FROM edges"""
 ORACLES["graph_review_projection"] = f"WITH {G} SELECT edge_id, source, target, evidence_count FROM edges WHERE evidence_count >= 2 AND source IN (SELECT node_id FROM nodes WHERE entity_type <> 'person') AND target IN (SELECT node_id FROM nodes WHERE entity_type <> 'person')"
-ORACLES["graph_components"] = f"WITH RECURSIVE {G}, {reach(chr(34) + 'relation_type' + chr(34) + " = 'supplies' AND evidence_count >= 3")} SELECT node_id, component FROM comp"
+_down = "c0 AS (SELECT node_id, node_id AS c FROM nodes)" + "".join(f", c{k} AS (SELECT x.node_id, least(any_value(x.c), coalesce(min(y.c), any_value(x.c))) AS c FROM c{k - 1} x LEFT JOIN near ON near.node_id = x.node_id LEFT JOIN c{k - 1} y ON y.node_id = other GROUP BY x.node_id)" for k in range(1, 9))
+ORACLES["graph_components"] = f"WITH {G}, {_down} SELECT node_id, c AS component FROM c8"  # no two nodes are more than eight steps apart
 _rank = ""
 for _k in range(1, 6):
     _p = f"r{_k - 1}"
@@ -226,17 +221,16 @@ ORACLES["ego_1hop"] = f"""WITH {G}, c AS (SELECT node_id AS center FROM deg ORDE
 m AS (SELECT center, other AS member FROM near JOIN c ON node_id = center UNION SELECT center, center FROM c),
 e AS (SELECT a.center, count(*) AS n_edges FROM edges JOIN m a ON source = a.member JOIN m b ON target = b.member AND a.center = b.center GROUP BY a.center)
 SELECT m.center, count(*) AS n_nodes, coalesce(any_value(n_edges), 0) AS n_edges FROM m LEFT JOIN e USING (center) GROUP BY m.center"""
-ORACLES["node_jaccard"] = f"""WITH {G}, c AS (SELECT node_id FROM deg WHERE node_id LIKE 'supplier:%' ORDER BY degree DESC, node_id LIMIT 12), s AS (SELECT node_id, other FROM near JOIN c USING (node_id)),
+ORACLES["node_jaccard"] = f"""WITH {G}, c AS (SELECT node_id FROM deg ORDER BY degree DESC, node_id LIMIT 12), s AS (SELECT node_id, other FROM near JOIN c USING (node_id)),
 n AS (SELECT node_id, count(*) AS n FROM s GROUP BY node_id), p AS (SELECT x.node_id AS a, y.node_id AS b, count(*) AS common FROM s x JOIN s y ON x.other = y.other AND x.node_id < y.node_id GROUP BY ALL)
 SELECT a, b, common, round(common / (na.n + nb.n - common), 6) AS jaccard FROM p JOIN n na ON na.node_id = a JOIN n nb ON nb.node_id = b"""
-_hop = """, nr AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE relation_type <> 'supplies' UNION SELECT DISTINCT target, source FROM edges WHERE relation_type <> 'supplies')"""
-ORACLES["shortest_paths_4hop"] = f"""WITH RECURSIVE {G}{_hop}, seeds AS (SELECT unnest(['region:3', 'nation:3', 'nation:8', 'nation:7']) AS s),
-w AS (SELECT s AS a, s AS pos, [s] AS path FROM seeds UNION ALL SELECT w.a, nr.b, list_append(path, nr.b) FROM w JOIN nr ON w.pos = nr.a
-      WHERE len(path) <= 4 AND NOT list_contains(path, nr.b) AND (nr.b NOT LIKE 'customer:%' AND nr.b NOT LIKE 'supplier:%')),
-r AS (SELECT a, pos AS b, path FROM w WHERE a < pos AND pos IN (SELECT s FROM seeds))
-SELECT a, b, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS hops FROM r QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1"""
-ORACLES["hop_distances"] = f"""WITH {G}{_hop}, d0 AS (SELECT node_id AS seed, node_id FROM nodes WHERE node_id LIKE 'region:%'),
-d1 AS (SELECT DISTINCT seed, b AS node_id FROM d0 JOIN nr ON node_id = a), d2 AS (SELECT DISTINCT seed, b AS node_id FROM d1 JOIN nr ON node_id = a), d3 AS (SELECT DISTINCT seed, b AS node_id FROM d2 JOIN nr ON node_id = a),
+_layers = "seeds AS (SELECT node_id AS s FROM deg ORDER BY degree DESC, node_id LIMIT 8), p0 AS (SELECT s AS a, s AS pos, [s] AS path FROM seeds), v0 AS (SELECT a, pos FROM p0)" + "".join(
+    f", p{k} AS (SELECT a, other AS pos, list_append(min(path), other) AS path FROM p{k - 1} JOIN near ON node_id = pos WHERE (a, other) NOT IN (SELECT (a, pos) FROM v{k - 1}) GROUP BY a, other), v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT a, pos FROM p{k})" for k in range(1, 5)
+)
+ORACLES["shortest_paths_4hop"] = f"""WITH {G}, {_layers}, r AS ({" UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, 5))})
+SELECT a, pos AS b, array_to_string(path, '>') AS path, (len(path) - 1)::BIGINT AS hops FROM r WHERE a < pos AND pos IN (SELECT s FROM seeds)"""
+ORACLES["hop_distances"] = f"""WITH {G}, d0 AS (SELECT node_id AS seed, node_id FROM nodes WHERE node_id LIKE 'region:%'),
+d1 AS (SELECT DISTINCT seed, other AS node_id FROM d0 JOIN near USING (node_id)), d2 AS (SELECT DISTINCT seed, other AS node_id FROM d1 JOIN near USING (node_id)), d3 AS (SELECT DISTINCT seed, other AS node_id FROM d2 JOIN near USING (node_id)),
 u AS (SELECT *, 0 AS h FROM d0 UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3)
 SELECT seed, node_id, min(h)::BIGINT AS hops FROM u GROUP BY ALL"""
 ORACLES["node_profiles"] = f"""WITH {G}, t AS (SELECT node_id, relation_type, count(*) AS n, sum(evidence_count) AS e FROM ends GROUP BY ALL),

@@ -273,8 +273,7 @@ def graph_review_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    edges = model.graph_edges(spark, d).where("relation_type = 'supplies' AND evidence_count >= 3")
-    return graph.weak_components(model.graph_nodes(spark, d), edges)
+    return graph.weak_components(model.graph_nodes(spark, d), model.graph_edges(spark, d))
 
 
 @query
@@ -293,14 +292,15 @@ def ego_1hop(spark: SparkSession, d: str) -> DataFrame:
 @query
 def node_jaccard(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = model.graph_nodes(spark, d), model.graph_edges(spark, d)
-    top = graph.degrees(nodes, edges).where("node_id LIKE 'supplier:%'").orderBy(F.col("degree").desc(), "node_id").limit(12)
+    top = graph.degrees(nodes, edges).orderBy(F.col("degree").desc(), "node_id").limit(12)
     return graph.neighbour_jaccard(edges, top)
 
 
 @query
 def shortest_paths_4hop(spark: SparkSession, d: str) -> DataFrame:
-    seeds = model.graph_nodes(spark, d).where("node_id IN ('region:3', 'nation:3', 'nation:8', 'nation:7')").select("node_id")
-    edges = model.graph_edges(spark, d).where("relation_type <> 'supplies'")
+    """Between the eight nodes of highest degree, over all edges."""
+    nodes, edges = model.graph_nodes(spark, d), model.graph_edges(spark, d)
+    seeds = graph.degrees(nodes, edges).orderBy(F.col("degree").desc(), "node_id").limit(8).select("node_id")
     paths = graph.shortest_paths(edges, seeds)
     return paths.select("a", "b", F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
 
@@ -308,8 +308,7 @@ def shortest_paths_4hop(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hop_distances(spark: SparkSession, d: str) -> DataFrame:
     seeds = model.graph_nodes(spark, d).where("node_id LIKE 'region:%'").select("node_id")
-    edges = model.graph_edges(spark, d).where("relation_type <> 'supplies'")
-    return graph.hop_distances(edges, seeds, 3).select("seed", "node_id", F.col("hops").cast("long").alias("hops"))
+    return graph.hop_distances(model.graph_edges(spark, d), seeds, 3).select("seed", "node_id", F.col("hops").cast("long").alias("hops"))
 
 
 @query

@@ -187,11 +187,14 @@ def portrait_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @oracle("""SELECT doc_id, array_to_string(list_filter([CASE WHEN length(q) > 240 THEN 'source_text_quote_too_long' END, CASE WHEN q <> '' AND NOT contains(t, q) THEN 'source_text_quote_not_in_primary_text' END,
   CASE WHEN q <> '' AND NOT contains(t, q) AND NOT contains(c, q) THEN 'source_text_quote_not_exact' END], lambda x: x IS NOT NULL), ',') AS warnings
-FROM (SELECT doc_id, coalesce(text, '') AS x, substr(x, 1, 500) AS t, substr(x, 501, 500) AS c, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(x, 21, 60) WHEN 2 THEN substr(x, 521, 60) WHEN 3 THEN substr(x, 101, 300) ELSE 'not there' END AS q FROM documents)""")
+FROM (SELECT doc_id, coalesce(text, '') AS x, substr(x, 1, length(x) // 2) AS t, substr(x, length(x) // 2 + 1) AS c, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(x, 21, 60) WHEN 2 THEN substr(x, 521, 60) WHEN 3 THEN substr(x, 101, 300) ELSE 'not there' END AS q FROM documents)""")
 def quote_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes of every document against its first half, with the second half as context."""
     k, x = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(x) / 2).cast("int")
+    first, second = F.substring(x, F.lit(1), half), F.substring(x, half + 1, F.length(x))
     quote = F.when(k % 5 == 0, "").when(k % 5 == 1, F.substring(x, 21, 60)).when(k % 5 == 2, F.substring(x, 521, 60)).when(k % 5 == 3, F.substring(x, 101, 300)).otherwise("not there")
-    return model.table(spark, d, "documents").select("doc_id", F.array_join(review.quote_warnings(quote, F.substring(x, 1, 500), F.substring(x, 501, 500)), ",").alias("warnings"))
+    return model.table(spark, d, "documents").select("doc_id", F.array_join(review.quote_warnings(quote, first, second), ",").alias("warnings"))
 
 
 _RX = lambda p: p.replace("(?i)", "").replace("'", "''")

@@ -109,18 +109,18 @@ def unit_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _owners(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions that refer to their first three turns by three kinds of name, one in four to a lost one too."""
-    rows = store.evidence(spark, d).where("turn < 3")
-    name = F.when(F.col("turn") == 0, F.col("evidence_ref")).when(F.col("turn") == 1, F.col("source_specific_ref")).otherwise(F.element_at("ref_aliases", 1))
+    """Sessions that refer to their turns by three kinds of name, one in four to a lost one too."""
+    rows = store.evidence(spark, d)
+    name = F.when(F.col("turn") % 3 == 0, F.col("evidence_ref")).when(F.col("turn") % 3 == 1, F.col("source_specific_ref")).otherwise(F.element_at("ref_aliases", 1))
     refs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(name)).alias("refs"))
     lost = F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("evidence:lost"))).otherwise(F.array().cast("array<string>"))
     return refs.select("conv_id", F.when(F.col("conv_id") % 9 == 0, lost).otherwise(F.concat("refs", lost)).alias("refs"))
 
 
 @oracle(f"""WITH {_ALIAS_SQL},
-r AS (SELECT conv_id, CASE turn WHEN 0 THEN evidence_ref WHEN 1 THEN source_specific_ref ELSE alias END AS ref FROM ev WHERE turn < 3 AND conv_id % 9 <> 0
-  UNION ALL SELECT DISTINCT conv_id, 'evidence:lost' FROM ev WHERE turn < 3 AND conv_id % 4 = 0),
-n AS (SELECT c.conv_id, count(r.ref) AS n_refs, count(names.evidence_ref) AS n_resolved FROM (SELECT DISTINCT conv_id FROM ev WHERE turn < 3) c
+r AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN evidence_ref WHEN 1 THEN source_specific_ref ELSE alias END AS ref FROM ev WHERE conv_id % 9 <> 0
+  UNION ALL SELECT DISTINCT conv_id, 'evidence:lost' FROM ev WHERE conv_id % 4 = 0),
+n AS (SELECT c.conv_id, count(r.ref) AS n_refs, count(names.evidence_ref) AS n_resolved FROM (SELECT DISTINCT conv_id FROM ev) c
   LEFT JOIN r USING (conv_id) LEFT JOIN names USING (ref) GROUP BY c.conv_id)
 SELECT *, CASE WHEN n_refs = 0 THEN 'unknown' WHEN n_refs = n_resolved THEN 'direct_refs_resolved' WHEN n_resolved > 0 THEN 'partial_refs_resolved' ELSE 'unresolved_refs' END AS status FROM n""")
 def ref_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -128,12 +128,12 @@ def ref_resolution(spark: SparkSession, d: str) -> DataFrame:
     return service.resolution_status(_owners(spark, d), names, "conv_id", "refs")
 
 
-@oracle(f"""WITH {store.SQL}, e AS (SELECT conv_id, text, min(turn) AS turn FROM ev WHERE turn < 4 AND text <> '' GROUP BY ALL)
+@oracle(f"""WITH {store.SQL}, e AS (SELECT conv_id, text, min(turn) AS turn FROM ev WHERE text <> '' GROUP BY ALL)
 SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM e GROUP BY conv_id""")
 def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The joined texts of every session's first turns."""
+    """The joined texts of every session's turns."""
     ev = store.evidence(spark, d)
-    owners = ev.where("turn < 4").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "evidence_ref"))), lambda x: x["evidence_ref"]).alias("refs"))
+    owners = ev.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "evidence_ref"))), lambda x: x["evidence_ref"]).alias("refs"))
     rows = service.gathered_text(owners, ev, "conv_id", "refs")
     return rows.select("conv_id", F.md5("text").alias("text_md5"))
 

@@ -157,7 +157,7 @@ def test_ranking_metrics(spark):
 
 def test_answer_items(spark):
     rows = [
-        (3, "Same  text", "context_only", "checked", "can_answer", ["w2", "w1"], ["bm25"], ["r3"], ["e"]),
+        (3, "Same    text", "context_only", "checked", "can_answer", ["w2", "w1"], ["bm25"], ["r3"], ["e"]),
         (1, "same text", "context_only", "checked", "background_only", ["w1"], None, ["r1", "r2"], None),
         (2, "SAME TEXT ", "context_only", "checked", "supporting_context", None, ["embedding", "bm25"], ["r2", "r4", "r5"], ["e"]),
         (4, None, "context_only", "checked", "background_only", [], [], [], ["b", "a"]),
@@ -168,5 +168,5 @@ def test_answer_items(spark):
     got = {x.position: x for x in answers.merge_items(df.withColumn("q", F.lit(1)), ["q"]).collect()}
     assert {k: v.n_items for k, v in got.items()} == {1: 3, 4: 2, 6: 1}
     one = got[1]
-    assert (one.text, one.use_policy, one.warnings, one.retrieved_by, one.reasons) == ("Same  text", "can_answer", ["w1", "w2"], ["embedding", "bm25"], ["r1", "r2", "r4", "r5"])
+    assert (one.text, one.use_policy, one.warnings, one.retrieved_by, one.reasons) == ("Same    text", "can_answer", ["w1", "w2"], ["embedding", "bm25"], ["r1", "r2", "r4", "r5"])
     assert got[4].text_key == "refs:a|b"
