@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import arrays as A
 from .functions import text as T
 from .functions import vectors as V
-from .operators import consolidate, graph, maintain, memory, retrieval, routing
+from .operators import community, consolidate, graph, maintain, memory, retrieval, routing
 from .plans import model
 
 QUERIES: dict = {}
@@ -323,7 +323,8 @@ def relation_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_communities(model.graph_nodes(spark, d), model.graph_edges(spark, d))
+    """Communities of high modularity over the whole graph; rounds that gain under a thousandth end a phase."""
+    return community.modularity_communities(model.graph_nodes(spark, d), model.graph_edges(spark, d), min_gain=1e-3)
 
 
 @query
@@ -500,4 +501,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import candidate_queries, graph_queries, learning_queries, review_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
+from . import candidate_queries, community_queries, graph_queries, learning_queries, review_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
