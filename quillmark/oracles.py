@@ -206,8 +206,8 @@ ORACLES["graph_degrees"] = f"WITH {G} SELECT * FROM deg"
 ORACLES["graph_projection_stats"] = f"""WITH {G} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM deg WHERE degree = 0) AS isolates, count(*) AS n_edges,
   count(*) FILTER (source = target) AS self_loops, 1 + (SELECT count(*) FROM deg WHERE degree = 0) AS weak_components, round(count(*) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 8) AS density FROM edges"""
 ORACLES["graph_review_projection"] = f"WITH {G} SELECT edge_id, source, target, evidence_count FROM edges WHERE evidence_count >= 2 AND source IN (SELECT node_id FROM nodes WHERE entity_type <> 'person') AND target IN (SELECT node_id FROM nodes WHERE entity_type <> 'person')"
-_down = "c0 AS (SELECT node_id, node_id AS c FROM nodes)" + "".join(f", c{k} AS (SELECT x.node_id, least(any_value(x.c), coalesce(min(y.c), any_value(x.c))) AS c FROM c{k - 1} x LEFT JOIN near ON near.node_id = x.node_id LEFT JOIN c{k - 1} y ON y.node_id = other GROUP BY x.node_id)" for k in range(1, 9))
-ORACLES["graph_components"] = f"WITH {G}, {_down} SELECT node_id, c AS component FROM c8"  # no two nodes are more than eight steps apart
+_down = "c0 AS (SELECT node_id, node_id AS c FROM nodes)" + "".join(f", c{k} AS (SELECT x.node_id, least(any_value(x.c), coalesce(min(y.c), any_value(x.c))) AS c FROM c{k - 1} x LEFT JOIN near ON near.node_id = x.node_id LEFT JOIN c{k - 1} y ON y.node_id = other GROUP BY x.node_id)" for k in range(1, 15))
+ORACLES["graph_components"] = f"WITH {G}, {_down} SELECT node_id, c AS component FROM c14"  # customer, nation, region, nation, supplier, part and back: ten steps
 _rank = ""
 for _k in range(1, 6):
     _p = f"r{_k - 1}"
