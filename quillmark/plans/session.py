@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -51,6 +52,11 @@ def settled(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``rows`` rows, which are counted; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """``settled`` into a folder that is deleted at the end; what is returned must be settled elsewhere."""
