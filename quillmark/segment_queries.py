@@ -1,15 +1,19 @@
-"""Queries of texts in spans and of co-occurrence graphs, each beside its DuckDB SQL."""
+"""Queries of texts in spans, of co-occurrence graphs and of vector files, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import segments
 from .plans import model
+from .plans.session import shared_root
 from .queries import query
 from .service_queries import oracle
+from .sources import vectors
 
 
 @oracle(r"""WITH p AS (SELECT doc_id, text, regexp_split_to_array(text, '\n\s*\n') AS w, regexp_extract_all(text, '\n\s*\n') AS s FROM documents WHERE text IS NOT NULL),
@@ -54,3 +58,13 @@ def sample_graphs(spark: SparkSession, d: str) -> DataFrame:
     rows = model.table(spark, d, "conversations").select("conv_id", "turn", F.explode(words).alias("name"))
     kind = F.when(F.col("name").rlike("^[A-Z][a-z]+$"), "entity").when(F.col("name").rlike("^[a-z]+ed$"), "event")
     return segments.sample_graphs(rows.withColumn("kind", kind).where("kind IS NOT NULL"), "conv_id", "turn")
+
+
+@oracle("SELECT vec_id, len(embedding)::BIGINT AS dim, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-9::DOUBLE, 4) AS norm FROM embeddings WHERE embedding IS NOT NULL")
+def vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors, written as an index of files and read again by ranges of rows."""
+    folder = f"{shared_root(spark)}/quillmark/vectors-{uuid.uuid4().hex}"
+    vectors.write_vectors(model.table(spark, d, "embeddings"), "vec_id", "embedding", folder)
+    v = F.transform("vector", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.read_vectors(spark, folder).select(F.col("id").alias("vec_id"), F.size("vector").cast("long").alias("dim"), F.round(norm + 1e-9, 4).alias("norm"))
