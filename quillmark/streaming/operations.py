@@ -23,7 +23,7 @@ from ..plans.session import shared_root
 TRANSITIONS = frozenset(
     {("planned", "running"), ("planned", "superseded"), ("running", "completed"), ("running", "failed"), ("failed", "running"), ("failed", "superseded"), ("completed", "superseded")}
 )
-#: Part of every id.
+#: Fixed value: part of every id.
 VERSION = "maintenance.operation_log.v0.4"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "operation_id string, n_events long, status string, event_id long, illegal long, waiting long"
