@@ -10,6 +10,7 @@ from .functions import vectors as V
 from .operators import retrieval, service
 from .oracles import ORACLES, word_set
 from .plans import model, store
+from .plans.session import bounded
 from .queries import query
 
 
@@ -255,10 +256,14 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     vec = model.table(spark, d, "embeddings")
     n = vec.agg(F.count("*").alias("n"))  # one row
     place = lambda df, k, c: df.join(F.broadcast(n)).withColumn("vec_id", F.expr(k) % F.col("n")).join(vec.select("vec_id", F.col("embedding").alias(c)), "vec_id").drop("n", "vec_id")
-    hits = bm25.select("query_id", "conv_id", "turn").distinct()
-    # vectors are looked up for pairs that BM25 found; one question and one turn have one vector each
-    pairs = place(place(hits, "query_id * 7", "qv"), "conv_id * 13 + turn", "uv")
-    vectors = pairs.where("turn % 5 <> 4").select("query_id", "conv_id", "turn", V.dot(F.col("qv"), F.col("uv")).alias("embedding_raw"))
+    raw = V.dot(F.col("qv"), F.col("uv")).alias("embedding_raw")
+    held = place(turns.where("turn % 5 <> 4").select("conv_id", "turn"), "conv_id * 13 + turn", "uv")  # one turn in five has no vector
+    asked = bounded(place(q.select("query_id"), "query_id * 7", "qv"))
+    # every question meets every vector; a pair that BM25 does not find can only be among the best if its vector is
+    near = retrieval.top_k(held.join(asked).select("query_id", "conv_id", "turn", raw).where("embedding_raw > 0"), 8, "embedding_raw", ["conv_id", "turn"])
+    hits = bm25.select("query_id", "conv_id", "turn").unionByName(near.select("query_id", "conv_id", "turn")).distinct()
+    pairs = hits.join(asked, "query_id").join(held, ["conv_id", "turn"])
+    vectors = pairs.select("query_id", "conv_id", "turn", raw)
     rows = service.unit_scores(bm25, vectors, ["conv_id", "turn"])
     best = retrieval.top_k(rows, 8, "score", ["conv_id", "turn"])
     return service.pruned(best, (F.col("rank") <= 3) & (F.col("score") >= 0.25), retrieval.bucket(F.col("score")))
