@@ -51,3 +51,18 @@ def hash_embedding(rows: DataFrame, key: str, tokens: Column, dims: int, *, wide
     each = whole.select(key, "m", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long"))).alias("dim"))
     value = F.coalesce(F.element_at("m", F.col("dim")), F.lit(0.0))
     return each.select(key, "dim", F.round(F.when(F.col("n") > 0, value / F.col("n")).otherwise(value), 8).alias("value"))
+
+
+def sparse_hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
+    """(key, dim, value): the entries other than 0 of the one-bucket hash embedding of a text's words.
+
+    Words are split at spaces and line ends; a text without any counts as one word.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.filter(F.split(F.regexp_replace(F.lower(t), "\n", " "), " "), lambda w: w != "")
+    tokens = F.when(F.size(words) > 0, words).otherwise(F.array(t))
+    each = rows.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("c")).withColumn("h", F.sha2("token", 256))
+    sign = F.when(F.pmod(_hex(F.col("h"), 9, 2), F.lit(2)) == 0, F.col("c")).otherwise(-F.col("c"))
+    sums = each.groupBy(key, F.pmod(_hex(F.col("h"), 1, 8), F.lit(dims)).alias("dim")).agg(F.sum(sign).cast("double").alias("v")).where("v <> 0")
+    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return sums.join(norms, key).select(key, "dim", F.round(F.col("v") / F.col("n"), 8).alias("value"))
