@@ -501,4 +501,4 @@ def stream_latest_view(spark: SparkSession, d: str) -> DataFrame:
     return stream_latest(spark, f"{d}/events.parquet")
 
 
-from . import candidate_queries, community_queries, graph_queries, indexed_queries, learning_queries, review_queries, segment_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
+from . import candidate_queries, community_queries, compare_queries, graph_queries, indexed_queries, learning_queries, review_queries, segment_queries, service_queries, span_queries  # noqa: E402, F401  (register themselves)
