@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.session import bounded
 from . import retrieval
 
-#: A batch's distinct terms are broadcast up to this many; beyond it labels and terms meet in blocks.
-TERMS = 100_000
+#: Characters of a beginning by which labels and terms that may hold each other meet.
+GRAM = 3
 # Hints and labels that make a node a poor bridge, and warnings of risk.
 WEAK_HINTS = ("review_required", "context_dependent", "generic_fragment", "action_phrase")
 UNRESOLVED_LABELS = ("i", "me", "my", "you", "he", "him", "she", "her", "we", "us", "they", "them", "it", "this")
@@ -52,18 +53,38 @@ def seed_terms(question: Column, most: int = 16) -> Column:
     return F.slice(F.array_distinct(F.concat(pairs, F.filter(words, lambda w: F.length(w) > 1))), 1, most)
 
 
+def _that_may_hit(labels: DataFrame, terms: DataFrame) -> DataFrame:
+    """(label, term) with a word in common, or of which one may hold the other, by equi-joins.
+
+    What holds a text holds its first ``GRAM`` characters (all, if fewer), so each side's beginning
+    meets the runs of up to ``GRAM`` characters of the other.  Beginnings and labels are short.
+    """
+    words = lambda c: F.transform(F.array_distinct(T.graph_tokens(F.col(c))), lambda w: F.concat(F.lit("w"), w))
+    first = lambda c, mark: F.array(F.concat(F.lit(mark), F.substring(F.lower(F.trim(c)), 1, GRAM)))
+
+    def runs(c: str, mark: str) -> Column:
+        text = F.lower(F.trim(c))
+        at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        of = lambda n: F.transform(at, lambda i: F.concat(F.lit(mark), F.substr(text, i, F.lit(n))))
+        return F.concat(*[of(n) for n in range(1, GRAM + 1)])
+
+    keyed = lambda df, c, keys: df.select(c, F.explode(F.array_distinct(keys)).alias("key")).where("length(key) > 1")
+    left = keyed(labels, "label", F.concat(words("label"), first("label", "l"), runs("label", "t")))
+    right = keyed(terms, "term", F.concat(words("term"), first("term", "t"), runs("term", "l")))
+    return left.join(bounded(right), "key").select("label", "term").distinct()
+
+
 def seed_branch(questions: DataFrame, nodes: DataFrame, per_term: int = 3) -> DataFrame:
     """Nodes named by the questions' terms, the best ``per_term`` of each: 20 for an equal label, 10 for one that
     holds the other, 3 a common word.  A node that several terms name is hit several times."""
     asked = questions.select("query_id", F.posexplode(seed_terms(F.col("question"))).alias("term_no", "term"))
-    terms = asked.select("term").distinct()
-    terms = F.broadcast(terms) if terms.limit(TERMS + 1).count() <= TERMS else terms
-    low = F.lower(F.trim("label"))
+    low, term = F.lower(F.trim("label")), F.col("term")
     words = lambda c: F.array_distinct(T.graph_tokens(c))
-    base = F.when(low == F.col("term"), 20).when(F.contains(low, F.col("term")) | (F.contains(F.col("term"), low) & (low != "")), 10).otherwise(0)
-    score = base + 3 * F.size(F.array_intersect(words(F.col("label")), words(F.col("term"))))
+    base = F.when(low == term, 20).when(F.contains(low, term) | (F.contains(term, low) & (low != "")), 10).otherwise(0)
+    score = base + 3 * F.size(F.array_intersect(words(F.col("label")), words(term)))
     labels = nodes.select("label").distinct()  # many nodes may share a label
-    hits = labels.crossJoin(terms).withColumn("raw_score", score.cast("long")).where("raw_score > 0")
+    pairs = _that_may_hit(labels, asked.select("term").distinct())
+    hits = pairs.withColumn("raw_score", score.cast("long")).where("raw_score > 0")
     order = Window.partitionBy("term").orderBy(F.col("raw_score").desc(), "label", "node_id")
     best = nodes.select("node_id", "label").join(hits, "label").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= per_term)
     rows = asked.join(best, "term")

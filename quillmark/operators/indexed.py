@@ -16,7 +16,8 @@ LEXICAL, VECTOR = ("bm25_indexed", "hybrid_indexed"), ("embedding_indexed", "hyb
 
 def vector_hits(asked: DataFrame, units: DataFrame, *, dims: int = DIMS) -> DataFrame:
     """(query_id, unit_id, cosine) above 0, by an equi-join on the dimensions of sparse hash embeddings."""
-    left = V.sparse_hash_embedding(asked, "query_id", "question", dims).withColumnRenamed("value", "_q")
+    said = asked.where(F.trim(F.coalesce("question", F.lit(""))) != "")
+    left = V.sparse_hash_embedding(said, "query_id", "question", dims).withColumnRenamed("value", "_q")
     right = V.sparse_hash_embedding(units, "unit_id", "text", dims)
     pairs = right.join(bounded(left), "dim").groupBy("query_id", "unit_id")
     return pairs.agg(F.round(F.sum(F.col("_q") * F.col("value")), 6).alias("cosine")).where("cosine > 0")
