@@ -275,11 +275,10 @@ def schema_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return review.schema_candidates(_packets(spark, d), _schema(spark, d), 8)
 
 
-def _by_hash(spark: SparkSession, d: str) -> DataFrame:
+def _by_hash(near: DataFrame) -> DataFrame:
     """A second ranking of every packet's relation types, as an embedding index would give it: by a seeded hash."""
-    near = review.schema_candidates(_packets(spark, d), _schema(spark, d), 24).select("query_id", "relation_type")
     key = F.md5(F.concat_ws("|", "query_id", "relation_type"))
-    return retrieval.top_k(near.withColumn("h", -F.conv(F.substring(key, 1, 8), 16, 10).cast("long")), 8, "h", ["relation_type"]).select("query_id", "relation_type", "rank")
+    return retrieval.top_k(near.select("query_id", "relation_type", (-F.conv(F.substring(key, 1, 8), 16, 10).cast("long")).alias("h")), 8, "h", ["relation_type"]).select("query_id", "relation_type", "rank")
 
 
 @oracle(f"""WITH {_SCHEMA.replace('QUALIFY rank <= 8', 'QUALIFY rank <= 24')}, l AS (SELECT query_id, relation_type, rank AS l FROM tx WHERE rank <= 8),
@@ -287,7 +286,8 @@ e AS (SELECT query_id, relation_type, row_number() OVER (PARTITION BY query_id O
 f AS (SELECT query_id, relation_type, round(CASE WHEN l IS NOT NULL THEN 1.0::DOUBLE / (60 + l) ELSE 0 END + CASE WHEN e IS NOT NULL THEN 1.0::DOUBLE / (60 + e) ELSE 0 END, 8) AS score, (l IS NOT NULL)::INT + (e IS NOT NULL)::INT AS n_sources FROM l FULL JOIN e USING (query_id, relation_type))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n_sources DESC, relation_type) AS rank FROM f QUALIFY rank <= 10""")
 def schema_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return review.schema_fusion(schema_retrieval(spark, d), _by_hash(spark, d), 10)
+    near = review.schema_candidates(_packets(spark, d), _schema(spark, d), 24)
+    return review.schema_fusion(near.where("rank <= 8"), _by_hash(near), 10)
 
 
 METRICS = ["n", "n_quantity", "n_returned"]
