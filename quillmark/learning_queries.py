@@ -9,7 +9,7 @@ from . import review_queries, span_queries
 from .functions import text as T
 from .operators import answers, calibrate, learning, routing, spans, terms
 from .oracles import EV, FLAT
-from .plans import model
+from .plans import model, session
 from .plans.lexicon import GROUPS
 from .queries import query
 from .service_queries import oracle
@@ -186,7 +186,7 @@ SELECT (SELECT count(*) FROM s) AS n, (SELECT sum(y)::BIGINT FROM s) AS positive
 def schema_ranking(spark: SparkSession, d: str) -> DataFrame:
     """How well the retrieval's own order ranks, with the inverse rank as its score."""
     rows = learning.candidate_features(_schema_examples(spark, d))
-    return learning.ranking_metrics(rows.select("id", "packet_id", "label", F.col("f_inverse_rank").alias("probability")))
+    return learning.ranking_metrics(session.settled(rows.select("id", "packet_id", "label", F.col("f_inverse_rank").alias("probability"))))
 
 
 @query
