@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,17 +139,51 @@ def text_units(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 # --- co-occurrence
 
 
+#: Words whose pairs are counted at once.
+CHUNK = 500_000
+
+
+def _pair_counts(lists: pa.ListArray, window: int) -> pa.RecordBatch:
+    """(a, b, n) of the pairs within the lists."""
+    words = lists.flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary)  # by bytes, as Spark compares
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    place = rank[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    keys = []
+    for k in range(1, window + 1):
+        x, y = place[:-k], place[k:]
+        at = (row[:-k] == row[k:]) & (x != y)
+        keys.append(np.minimum(x[at], y[at]) * len(order) + np.maximum(x[at], y[at]))
+    pairs, n = np.unique(np.concatenate(keys), return_counts=True)
+    names = words.dictionary.take(order)
+    size = max(len(order), 1)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(pairs // size)), names.take(pa.array(pairs % size)), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+
 def cooccurrences(rows: DataFrame, terms: str, window: int = 8) -> DataFrame:
     """(a, b, n): how often two different terms stand at most ``window`` places apart, a < b.
 
     ``terms`` is an array in the order of the text.  The pairs of a place are made in its own row, offset
-    by offset, so the work is terms x window and no term's places meet; frequent pairs are summed before
-    the shuffle.  Null arrays and null terms give no pairs.
+    by offset, so the work is terms x window and no term's places meet; pairs are counted over some
+    hundred thousand words at a time, and only these counts go on.  Null arrays and null terms give no pairs.
     """
     t = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    shifted = [F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - k, F.lit(0))), F.slice(t, k + 1, F.size(t)), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))) for k in range(1, window + 1)]
-    pairs = rows.select(F.explode(F.flatten(F.array(*shifted))).alias("p")).where("p.a < p.b")
-    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            at = 0
+            while at < len(lists):
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+                yield _pair_counts(lists.slice(at, to - at), window)
+                at = to
+
+    counts = rows.select(t.alias("t")).mapInArrow(run, "a string, b string, n long")
+    return counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def sample_graphs(mentions: DataFrame, sample: str, unit: str) -> DataFrame:
