@@ -33,10 +33,12 @@ MOST_WORDS = 4
 
 def content_tokens(text: Column) -> Column:
     """Latin words, then CJK runs, normalized; those that carry content (salience tokenizer)."""
-    words = F.concat(T.found(text, r"[A-Za-z][A-Za-z'\-]*"), T.found(text, r"[\x{4e00}-\x{9fff}]+"))
-    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^['_\-]+|['_\-]+$", "")))
-    cjk = lambda w: w.rlike(r"[\x{4e00}-\x{9fff}]")
-    return F.filter(plain, lambda w: F.when(cjk(w), (F.length(w) >= 2) & ~w.isin(*CHINESE_STOPWORDS)).otherwise((F.length(w) > 2) & ~w.isin(*STOPWORDS)))
+    latin = F.transform(T.found(text, r"[A-Za-z][A-Za-z'\-]*"), lambda w: F.lower(F.btrim(w, F.lit("'_-"))))
+    cjk = T.found(text, r"[\x{4e00}-\x{9fff}]+")
+    return F.concat(
+        F.filter(latin, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)),
+        F.filter(cjk, lambda w: (F.length(w) >= 2) & ~w.isin(*CHINESE_STOPWORDS)),
+    )
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -52,18 +54,19 @@ def tfidf(rows: DataFrame, key: str, text: str = "text", *, max_features: int =
     smaller term, equal weights rank by term.  Rows without a term of the vocabulary have zeros.
     Keys are unique; null texts are empty.
     """
-    split = rows.select(key, with_bigrams(content_tokens(F.col(text))).alias("_terms"))
+    tokens = settled(rows.select(key, content_tokens(F.col(text)).alias("_t")))  # texts are split once
+    split = tokens.select(key, with_bigrams(F.col("_t")).alias("_terms"))
     counted = split.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     chosen = settled(counted.orderBy(F.col("n").desc(), "term").limit(max_features).select("term"))
     hits = split.select(key, F.explode("_terms").alias("term")).join(F.broadcast(chosen), "term")  # max_features rows
     tf = settled(hits.groupBy(key, "term").agg(F.count("*").alias("tf")))
-    total = rows.count()
+    total = tokens.count()
     idf = tf.groupBy("term").agg((F.log((1.0 + total) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
     weighed = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "term"))), 1, top)  # at most max_features terms a row
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     each = weighed.groupBy(key).agg(F.count("*").alias("n_terms"), (F.max("w") / norm).alias("m"), (F.sum("w") / norm).alias("s"), F.array_join(F.transform(best, lambda x: x["term"]), ",").alias("top_terms"))
-    out = rows.select(key).join(each, key, "left").fillna(0, ["n_terms"]).fillna(0.0, ["m", "s"]).fillna("", ["top_terms"])
+    out = tokens.select(key).join(each, key, "left").fillna(0, ["n_terms"]).fillna(0.0, ["m", "s"]).fillna("", ["top_terms"])
     half = 1e-9  # so that engines that round a half differently agree
     score = F.round(F.least(F.lit(10.0), F.col("s") / 3.0 * 10.0) + half, 3)
     return out.select(key, "n_terms", F.round(F.col("m") + half, 4).alias("max_tfidf"), F.round(F.col("s") + half, 4).alias("sum_tfidf"), score.alias("score"), "top_terms")
