@@ -10,7 +10,7 @@ from .functions import vectors as V
 from .operators import retrieval, service
 from .oracles import ORACLES, word_set
 from .plans import model, store
-from .plans.session import bounded
+from .plans.session import bounded, settled
 from .queries import query
 
 
@@ -276,7 +276,7 @@ def pruned_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def packet_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored(spark, d)
+    rows = settled(_scored(spark, d))  # a few rows a question, read twice
     turns = model.table(spark, d, "conversations").select("conv_id", "turn", "text")
     q = model.questions(spark, d)
     chosen = rows.where("prune_status = 'selected'").join(turns, ["conv_id", "turn"]).join(q, "query_id")
