@@ -29,6 +29,8 @@ GROWTH, PIVOTS = 8, 4096
 BLOCK_ITEMS = 1 << 20
 #: Bands and rows whose values a sketch holds, and the slack of its comparison.
 SKETCH, QUICK_WORDS, DEVIATIONS = (72, 7), 12, 4.5
+_29, _32, _33 = np.uint64(29), np.uint64(32), np.uint64(33)
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 class MinMax:
@@ -121,9 +123,13 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 def finish(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over the 64-bit word."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+    y = x >> _33
+    y ^= x
+    y *= _M1
+    y ^= y >> _29
+    y *= _M2
+    y ^= y >> _32
+    return y
 
 
 def linked(a: Column, b: Column, percent: int) -> Column:

@@ -36,64 +36,102 @@ WINDOW, STEPS, FIRST_RUN = 26, 25, 1 << 30
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _K, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_REST = np.append(np.uint64(1), np.cumprod(np.full(WINDOW, _K2)))[::-1]  # weights of a run's length and words
+#: Random values of bytes, and the bytes of texts that are taken together.
+_BYTES = np.random.default_rng(3).integers(1, (1 << 64) - 1, 256, dtype=np.uint64, endpoint=True)
+CHUNK_BYTES = 1 << 18
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``_K`` from the 0th on, and their inverses modulo 2**64."""
+    up = lambda k: np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(k), np.uint64)))
+    return up(int(_K)), up(pow(int(_K), -1, 1 << 64))
+
+
+_POWERS = _powers(CHUNK_BYTES)
 UNITS = "doc_id long, text_hash long, idx int, start int, length int, cls long, rest long, bands array<long>"
 #: Rows with arrays that are broadcast at most.
 WIDE_ROWS = 150_000
 
 
 class Words:
-    """A text's words (split at ASCII white space): hashes of their lower case, places in characters, and lines."""
+    """The words of texts (split at ASCII white space), one text after the other: hashes of their lower case, places, lines."""
 
-    def __init__(self, text: str, hashes: WordHashes):
-        raw = text.encode()
-        self.hash = hashes.of_words(raw.lower().split())
+    def __init__(self, texts: list[bytes]):
+        raw = b"\n".join(texts)
         self.raw = np.frombuffer(raw, np.uint8)
         edge = np.flatnonzero(np.diff(_SPACE[self.raw], prepend=True, append=True))
         self.first, self.last = edge[::2], edge[1::2]
-        self.chars = None if len(raw) == len(text) else np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+        self.hash = word_hashes(np.frombuffer(raw.lower(), np.uint8), self.first, self.last)
+        self.text = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])  # where each text begins, in bytes
+        self.word = np.append(np.searchsorted(self.first, self.text), len(self.first))  # and in words
+        self.chars = None if raw.isascii() else np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
 
     def place(self, at: np.ndarray) -> np.ndarray:
         """Characters before bytes."""
         return at if self.chars is None else self.chars[at]
 
-    def lines(self) -> Iterator[tuple[int, int, int, int]]:
-        """(start, length, first word, word behind) of lines of MIN_WORDS at least."""
+    def lines(self) -> tuple[np.ndarray, ...]:
+        """(text, start, length, first word, word behind) of lines of MIN_WORDS at least."""
         ends = np.append(np.flatnonzero(self.raw == 10), len(self.raw))
         begins = np.append(0, ends[:-1] + 1)
         words = np.searchsorted(self.first, ends)
         before = np.append(0, words[:-1])
         keep = words - before >= MIN_WORDS
+        text = np.searchsorted(self.text, begins[keep], "right") - 1
         start, stop = self.place(begins[keep]), self.place(ends[keep])
-        return zip(start.tolist(), (stop - start).tolist(), before[keep].tolist(), words[keep].tolist(), strict=True)
+        return text, start - self.place(self.text[text]), stop - start, before[keep], words[keep]
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Selected runs: the number of their first word, and their hashes."""
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Selected runs: their text, the number of their first word, and their hashes."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         if len(self.hash) < WINDOW + STEPS - 1:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return none
         key = _spread(self.hash, WINDOW, lambda a, b: finish(a * _K + b))
-        least = _spread(key, STEPS, np.minimum)
+        whole = np.diff(self.word) >= WINDOW + STEPS - 1
+        text = np.repeat(np.arange(len(whole)), np.diff(self.word))[: len(key)]
+        left = self.word[1:][text] - np.arange(len(key))  # words up to the text's end
+        least = np.where(left[: len(key) - STEPS + 1] >= WINDOW + STEPS - 1, _spread(key, STEPS, np.minimum), 0)
         pad = np.zeros(STEPS - 1, np.uint64)
-        at = np.flatnonzero(key == _spread(np.concatenate([pad, least, pad]), STEPS, np.maximum))
-        same = np.flatnonzero(np.diff(key[at]) == 0)
+        at = np.flatnonzero((key == _spread(np.concatenate([pad, least, pad]), STEPS, np.maximum)) & (left >= WINDOW) & whole[text])
+        same = np.flatnonzero((np.diff(key[at]) == 0) & (np.diff(text[at]) == 0))
         if len(same):  # ties, as in texts that repeat themselves: as few as leave no gap
-            kept, k = [], at.tolist()
-            for j, x in enumerate(k):
-                if not kept or key[x] != key[kept[-1]] or j + 1 == len(k) or key[k[j + 1]] != key[x] or k[j + 1] - kept[-1] > STEPS:
-                    kept.append(x)
-            at = np.array(kept)
-        return at, key[at]
+            parts = np.split(at, np.flatnonzero(np.diff(text[at])) + 1)
+            tied = set(text[at[same]].tolist())
+            at = np.concatenate([self._thinned(key, p) if int(text[p[0]]) in tied else p for p in parts])
+        return text[at], at, key[at]
+
+    @staticmethod
+    def _thinned(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+        kept, k = [], at.tolist()
+        for j, x in enumerate(k):
+            if not kept or key[x] != key[kept[-1]] or j + 1 == len(k) or key[k[j + 1]] != key[x] or k[j + 1] - kept[-1] > STEPS:
+                kept.append(x)
+        return np.array(kept)
 
     def rest(self, at: np.ndarray) -> np.ndarray:
         """Further 64 bits of the runs that begin at words ``at``."""
-        total = np.full(len(at), WINDOW, np.uint64)
-        for k in range(WINDOW):
-            total = total * _K2 + self.hash[at + k]
-        return finish(total)
+        words = self.hash[at[:, None] + np.arange(WINDOW)]
+        return finish((np.insert(words, 0, WINDOW, axis=1) * _REST).sum(axis=1, dtype=np.uint64))
 
-    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, length) of the runs that begin at words ``at``."""
+    def spans(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of the runs that begin at words ``at`` of their texts."""
         start = self.place(self.first[at])
-        return start, self.place(self.last[at + WINDOW - 1]) - start
+        return start - self.place(self.text[text]), self.place(self.last[at + WINDOW - 1]) - start
+
+
+def word_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64 bits of each word (bytes from ``first`` up to ``last``): a polynomial over random values of its bytes."""
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):  # blocks of bytes, or one long word
+        to = max(at + 1, int(np.searchsorted(last, first[at] + CHUNK_BYTES, "right")))
+        begin, n = int(first[at]), int(last[to - 1] - first[at])
+        power, inverse = _POWERS if n <= CHUNK_BYTES else _powers(n)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw[begin : begin + n]] * power[:n])])
+        head, tail = first[at:to] - begin, last[at:to] - begin
+        out[at:to] = (total[tail] - total[head]) * inverse[head] + (tail - head).astype(np.uint64)
+        at = to
+    return finish(out)
 
 
 def _spread(x: np.ndarray, n: int, join: Callable) -> np.ndarray:
@@ -111,11 +149,30 @@ def line_sets(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(w) for w in words])
     begins = np.cumsum(counts) - counts
     own = np.ones(len(runs), bool)
-    for stop in begins[1:].tolist():  # runs that cross from one paragraph to the next
-        own[stop - SIZE + 1 : stop] = False
+    own[begins[1:, None] + np.arange(1 - SIZE, 0)] = False  # runs that cross from one paragraph to the next
     return runs[own], np.cumsum(counts - SIZE + 1) - (counts - SIZE + 1)
 
 
+def _numbered(text: np.ndarray) -> np.ndarray:
+    """0, 1, 2 ... within each text; ``text`` is in order."""
+    return np.arange(len(text)) - np.searchsorted(text, text)
+
+
+def _line_units(words: Words, minmax: MinMax) -> tuple[np.ndarray, ...]:
+    """(text, idx, start, length, cls, rest, bands) of all paragraphs."""
+    text, start, length, begins, ends = words.lines()
+    own = [words.hash[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+    keys = minmax.keys(minmax.values(*line_sets(own))) if own else np.empty((0, BANDS), np.int64)
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"L" + w.tobytes()) for w in own), "<i8").reshape(-1, 2)
+    return text, _numbered(text), start, length, digest[:, 0], digest[:, 1], keys
+
+
+def _run_units(words: Words) -> tuple[np.ndarray, ...]:
+    """(text, idx, start, length, cls, rest) of all selected runs."""
+    text, at, key = words.runs()
+    return text, FIRST_RUN + _numbered(text), *words.spans(text, at), key.view(np.int64), words.rest(at).view(np.int64)
+
+
 def units(texts: DataFrame) -> DataFrame:
     """All paragraphs and selected runs of (doc_id, text_hash, text); band keys for paragraphs only."""
     small_batches(texts.sparkSession)
@@ -123,25 +180,23 @@ def units(texts: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minmax = WordHashes.shared(), MinMax(BANDS, ROWS)
+        minmax = MinMax(BANDS, ROWS)
         for batch in batches:
-            out = []
-            ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, h, t in zip(ids, marks, batch.column(2), strict=True):
-                words = Words(t.as_py() or "", hashes)
-                lines = [(start, n, words.hash[b:e]) for start, n, b, e in words.lines()]
-                if lines:
-                    keys = minmax.keys(minmax.values(*line_sets([w for _, _, w in lines])))
-                    for k, (start, n, own) in enumerate(lines):
-                        out.append((i, h, k, start, n, *np.frombuffer(xxhash.xxh3_128_digest(b"L" + own.tobytes()), "<i8").tolist(), keys[k]))
-                at, key = words.runs()
-                if len(at):
-                    start, n = words.spans(at)
-                    rest = words.rest(at).view(np.int64)
-                    for k, row in enumerate(zip(start.tolist(), n.tolist(), key.view(np.int64).tolist(), rest.tolist(), strict=True), FIRST_RUN):
-                        out.append((i, h, k, *row, None))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts, at = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], 0
+            while at < len(texts):
+                to, size = at + 1, len(texts[at])
+                while to < len(texts) and size + len(texts[to]) <= CHUNK_BYTES:
+                    to, size = to + 1, size + len(texts[to])
+                words = Words(texts[at:to])
+                lines, runs = _line_units(words, minmax), _run_units(words)
+                text, *cols = [np.concatenate(pair) for pair in zip(lines[:6], runs, strict=True)]
+                cols = [ids[at:to][text], marks[at:to][text], *cols]
+                ends = np.minimum(np.arange(len(text) + 1), len(lines[0])) * BANDS
+                bare = np.append(np.arange(len(text)) >= len(lines[0]), False)
+                bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=bare), pa.array(lines[6].ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], bands], names)
+                at = to
 
     return texts.mapInArrow(run, UNITS)
 
@@ -234,13 +289,12 @@ def _stretches(texts: DataFrame, gone: DataFrame) -> DataFrame:
         return key[left][::-1], begin[left][::-1].astype(np.int32), key[right], end[right].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes.shared()
         for batch in batches:
             out = []
             for i, h, t, spans, whole in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words, at = Words(t, hashes), []
+                words, at = Words([t.encode()]), []
                 begin, end = words.place(words.first), words.place(words.last)
-                edges = np.array([line[2:] for line in words.lines()], int).reshape(-1, 2)
+                edges = np.stack(words.lines()[3:], axis=1)
                 for s in spans:
                     if whole and at and s["start"] <= at[-1][-1]["start"] + at[-1][-1]["length"] + 1:
                         at[-1].append(s)

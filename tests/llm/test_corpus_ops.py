@@ -284,3 +284,26 @@ def test_one_id_with_several_texts(spark, parts, turned):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
+
+
+def test_texts_that_are_taken_together_keep_their_own_units():
+    r = random.Random(11)
+    words = ["eins", "zwei", "Drei", "vier", "fünf", "日本", "six", "SIX", "x" * 90]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    texts = ["", "\n", line(49), line(50), line(51), "one two " * 60, " \t".join(line(3) for _ in range(40)), *["\n".join(line(r.randrange(30)) for _ in range(9)) for _ in range(9)], ""]
+    together = substring_dedup.Words([t.encode() for t in texts])
+    minmax = near.MinMax(substring_dedup.BANDS, substring_dedup.ROWS)
+    for part in (lambda w: substring_dedup._line_units(w, minmax), substring_dedup._run_units):
+        text, *cols = part(together)
+        for k, t in enumerate(texts):
+            own, *alone = part(substring_dedup.Words([t.encode()]))
+            assert not own.any() and all(np.array_equal(a[text == k], b) for a, b in zip(cols, alone, strict=True))
+    text, at, _ = together.runs()
+    for k, t in enumerate(texts):
+        begins = (at[text == k] - together.word[k]).tolist()
+        for b in range(len(t.split()) - 49):  # of any 50 words a whole run is selected
+            assert any(b <= x <= b + 24 for x in begins)
+    hashes = {}
+    for h, w in zip(together.hash.tolist(), " ".join(texts).encode().lower().split(), strict=True):
+        assert hashes.setdefault(w, h) == h
+    assert len(set(hashes.values())) == len(hashes)
