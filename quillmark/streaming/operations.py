@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.session import shared_root
 
@@ -26,6 +26,7 @@ TRANSITIONS = frozenset(
 #: Fixed value: part of every id.
 VERSION = "maintenance.operation_log.v0.4"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "n long, status string, event_id long, illegal long, micros long, ids array<long>, times array<long>, said array<string>"
 OUT = "operation_id string, n_events long, status string, event_id long, illegal long, waiting long"
 
 
@@ -46,42 +47,26 @@ def fold(state: tuple, events: Iterable[tuple]) -> tuple:
     return n, status, last, illegal, at
 
 
-class Operations(StatefulProcessor):
-    """One operation's state: what is settled, and the events that wait by their id."""
-
-    def init(self, handle) -> None:
-        self._handle = handle
-        self._settled = handle.getValueState("settled", "n long, status string, event_id long, illegal long, micros long")
-        self._waiting = handle.getMapState("waiting", "event_id long", "micros long, status string")
-
-    def _known(self) -> tuple[tuple, list[tuple]]:
-        settled = tuple(self._settled.get()) if self._settled.exists() else (0, None, None, 0, None)
-        return settled, sorted((v[0], k[0], v[1]) for k, v in self._waiting.iterator())
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        latest = None
-        for frame in rows:
-            for event, micros, status in zip(frame["event_id"].tolist(), frame["micros"].tolist(), frame["status"].tolist(), strict=True):
-                self._waiting.updateValue((event,), (micros, status))
-                latest = micros if latest is None else max(latest, micros)
-        if latest is not None:
-            self._handle.registerTimer(latest // 1000 + 1)
-        settled, waiting = self._known()
-        n, status, event, illegal, _ = fold(settled, waiting)
-        yield pd.DataFrame({"operation_id": [key[0]], "n_events": [n], "status": [status], "event_id": [event], "illegal": [illegal], "waiting": [len(waiting)]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        settled, waiting = self._known()
-        over = [e for e in waiting if e[0] <= passed]
-        if over:
-            self._settled.update(fold(settled, over))
-            for _, event, _ in over:
-                self._waiting.removeKey((event,))
-        return iter(())
-
-    def close(self) -> None:
-        pass
+def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One operation's batch: what is settled, and the events that wait by their id, are one row of state, read and written once."""
+    settled, waiting = (0, None, None, 0, None), {}
+    if state.exists:
+        *settled, ids, times, said = state.get
+        waiting = dict(zip(ids, zip(times, said, strict=True), strict=True))
+    if not state.hasTimedOut:
+        for frame in frames:
+            waiting.update(zip(frame["event_id"].tolist(), zip(frame["micros"].tolist(), frame["status"].tolist(), strict=True), strict=True))
+    events = sorted(((micros, event, status) for event, (micros, status) in waiting.items()), key=lambda e: e[:2])
+    passed = state.getCurrentWatermarkMs() * 1000  # no such event is let in after this batch
+    over = [e for e in events if e[0] <= passed]
+    left = events[len(over) :]
+    settled = fold(tuple(settled), over)
+    state.update((*settled, [e[1] for e in left], [e[0] for e in left], [e[2] for e in left]))
+    if left:
+        state.setTimeoutTimestamp(left[0][0] // 1000 + 1)
+    if not state.hasTimedOut:
+        n, status, event, illegal, _ = fold(settled, left)
+        yield pd.DataFrame({"operation_id": [key[0]], "n_events": [n], "status": [status], "event_id": [event], "illegal": [illegal], "waiting": [len(left)]})
 
 
 def operation_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -92,7 +77,7 @@ def operation_states(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     rows = events.where("operation_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")
     rows = rows.select("operation_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status").withColumn("micros", F.unix_micros("ts"))
     keyed = rows.withWatermark("ts", delay).groupBy("operation_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Operations(), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    return keyed.applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_operations(spark: SparkSession, source: DataFrame, out: str | None = None, delay: str = "1 hour") -> DataFrame:

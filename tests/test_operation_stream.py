@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmark.streaming import operations
@@ -63,3 +64,32 @@ def test_ids(spark):
     got = df.select(operations.operation_id(F.lit("w"), F.col("kind"), F.col("key"), "v")).first()[0]
     want = json.dumps({"schema_version": "v", "workspace_id": "w", "operation_type": 'k"é', "idempotency_key": "7"}, ensure_ascii=False, sort_keys=True)
     assert got == "op_" + hashlib.sha256(want.encode()).hexdigest()[:16]
+
+
+class State:
+    """One operation's state, which counts its writes."""
+
+    exists, hasTimedOut, watermark, writes, timeout = False, False, 0, 0, None
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.watermark
+
+    def update(self, value):
+        self.get, self.exists, self.writes = value, True, self.writes + 1
+
+    def setTimeoutTimestamp(self, at):  # noqa: N802
+        assert at > self.watermark
+        self.timeout = at
+
+
+def test_a_batch_writes_the_state_once():
+    frame = lambda *rows: pd.DataFrame(rows, columns=["event_id", "micros", "status"])
+    state = State()
+    (out,) = operations.step(("op",), iter([frame((1, 5000, "planned"), (3, 9000, "completed")), frame((3, 9000, "completed"))]), state)
+    assert out.values.tolist() == [["op", 2, "completed", 3, 1, 2]] and state.writes == 1 and state.timeout == 6
+    state.watermark = 6
+    (out,) = operations.step(("op",), iter([frame((2, 8000, "running"))]), state)
+    assert out.values.tolist() == [["op", 3, "completed", 3, 0, 2]] and state.writes == 2 and state.timeout == 9
+    state.watermark, state.hasTimedOut = 20, True
+    assert not list(operations.step(("op",), iter(()), state))
+    assert state.get == (3, "completed", 3, 0, 9000, [], [], []) and state.writes == 3
