@@ -20,6 +20,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: A side of a join is broadcast only up to this many rows and estimated bytes; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
+#: Short rows that one task takes where a table's size is known.
+TASK_ROWS = 50_000
+
 #: From here on the planner's size is no size: it stands for a table that it knows nothing of.
 UNKNOWN_BYTES = 1 << 58
 
@@ -120,6 +123,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYT
     return F.broadcast(df) if n <= rows and (bytes_ or 0) <= size else df
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """At most a task for ``TASK_ROWS`` of ``rows``, so that small tables do not come in as many files as a shuffle has partitions."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table has not."""
     taken = {c.lower() for c in df.columns}

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch, written
-from .components import components
+from .common import bounded, few, scratch, written
+from .components import components, extended
 
-#: Further members of a bucket's front grow by this factor a round, up to a number.
-GROWTH, PIVOTS = 8, 4096
+#: Further members of a bucket's front: so many at first, by this factor more each round, up to a number.
+GROWTH, PIVOTS = 64, 4096
 #: Set elements of a bucket's side that meet in one task; larger sides are dealt in blocks.
 BLOCK_ITEMS = 1 << 20
 #: Bands and rows whose values a sketch holds, and the slack of its comparison.
@@ -166,7 +166,8 @@ def _near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
     members = keyed.join(written(shared, "buckets"), "key")
     members = written(members.distinct() if repeated else members, "members")
-    wanted = written(members.select("node").distinct(), "candidates")
+    n = members.count()
+    wanted = written(few(members.select("node").distinct(), n), "candidates")
     sets = written(sets_of(bounded(wanted)), "sets")
     if sets.count() > wanted.count():  # repeated rows
         sets = written(sets.dropDuplicates(["node"]), "sets")
@@ -182,8 +183,7 @@ def _near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     rest = others.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     more = confirm(likely(_apart(rest, comps)), sets, percent)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = components(links)
+        comps = extended(comps, more)
     left = members.where("node <> pivot").select("key", "node")  # the smallest members have met their buckets
     full = written(sketches.join(sets, "node"), "full")
     comps, turn = bounded(comps), 0
@@ -191,10 +191,10 @@ def _near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         turn += 1
         here = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         spread = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        here = written(here.join(spread, "key"), f"open-{turn}")
+        here = written(few(here.join(spread, "key"), n), f"open-{turn}")
         if here.isEmpty():
             return comps
-        front, rest = _front(here, full, turn)
+        front, rest = _front(here, full, turn, n)
         fits = may_link("sa", "sb", percent) & near_in_size(F.size("xa"), F.size("xb"), percent) & linked(F.col("xa"), F.col("xb"), percent)
         one = front.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("comp").alias("ca"), F.col("node").alias("a"), "top", F.col("sketch").alias("sa"), F.col("shingles").alias("xa"))
         other = rest.withColumnsRenamed({"sketch": "sb", "shingles": "xb"})
@@ -205,27 +205,26 @@ def _near_components(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
         more = written(joins.unionByName(among).distinct(), f"links-{turn}")
         left = rest.where("NOT pivot").select("key", "node").distinct()
         if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = bounded(components(links))
+            comps = bounded(extended(comps, more))
 
 
-def _front(here: DataFrame, full: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _front(here: DataFrame, full: DataFrame, turn: int, n: int) -> tuple[DataFrame, DataFrame]:
     """A round's front (key, block, node, comp, top, sketch, shingles), and what it meets, each block of a bucket once.
 
-    ``here``: (node, key, comp); ``full``: (node, sketch, shingles).  The rest holds all members outside
+    ``here``: (node, key, comp), ``n`` rows at most; ``full``: (node, sketch, shingles).  The rest holds all members outside
     the largest component, those of the front among them (``pivot``), with ``top_comp``, the component
     to which a hit belongs.
     """
-    pivots = min(GROWTH ** (turn - 1), PIVOTS)
+    pivots = min(GROWTH**turn, PIVOTS)
     parts = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
     whole = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
-    rows = here.join(bounded(written(whole, "open-buckets")), "key").withColumn("top", F.col("comp") == F.col("most.comp"))
+    rows = here.join(bounded(written(few(whole, n), "open-buckets")), "key").withColumn("top", F.col("comp") == F.col("most.comp"))
     chance = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("all") - F.col("most.n"))
     rows = rows.withColumn("pivot", ~F.col("top") & (chance < pivots)).join(full, "node")
     rows = written(rows.select("key", "node", "comp", F.col("most.comp").alias("top_comp"), "top", "pivot", "sketch", "shingles"), "open-members")
     asked = rows.where("top OR pivot")
     blocks = asked.groupBy("key").agg(F.ceil(F.sum(F.size("shingles").cast("long")) / BLOCK_ITEMS).cast("int").alias("blocks"))
-    blocks = bounded(written(blocks, "blocks"))
+    blocks = bounded(written(few(blocks, n), "blocks"))
     front = asked.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rows.where("NOT top").join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return front.select("key", "block", "node", "comp", "top", "sketch", "shingles"), rest.select("key", "block", "node", "comp", "pivot", "top_comp", "sketch", "shingles")

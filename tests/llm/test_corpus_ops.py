@@ -121,6 +121,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_grow_by_further_links(spark):
+    """Links that come later join components and new nodes; the names are as if all had been there, in few files."""
+    draw = random.Random(7)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        first = components.components(frame(edges[:150]))
+        assert len(first.inputFiles()) < 10
+        got = components.extended(first, frame(edges[150:]))
+        want = components.components(frame(edges))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def sentences(seed, n):
     w = prose(seed, n)
     return " ".join(x + ("." if k % 9 == 8 else "") for k, x in enumerate(w)) + "."
