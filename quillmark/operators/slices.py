@@ -1,8 +1,10 @@
 """Review slices: small subgraphs for many centres, communities, noisy edges and weak nodes at once.
 
 Nodes of a slice are cut by (-degree, label) and edges by their id.  Tasks drop what cannot be among a
-slice's first nodes or edges before the shuffle.  Edges inside a slice are found from the end of lower
-degree, so a hub that stands in every slice does not bring its whole neighbourhood along.
+slice's first nodes or edges before the shuffle.  Edges inside a slice that touch the node after which
+it is named are found by both of their ends.  All others need ends that some slice holds as further
+members; of what is left they are found from the end of lower degree, so a hub that stands in every
+slice does not bring its whole neighbourhood along.
 """
 
 from __future__ import annotations
@@ -10,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import settled
-from .graph import neighbours
+from ..plans.session import bounded, settled
+from .graph import endpoints
 
 MAX_NODES, MAX_EDGES = 40, 60
+#: Ids that are broadcast at most.
+CENTERS = 1_000_000
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
@@ -27,28 +31,48 @@ def _degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ego_members(edges: DataFrame, centers: DataFrame) -> DataFrame:
     """(slice_id, node_id): each center with all that it touches."""
-    named = centers.select(F.col("node_id").alias("slice_id")).distinct()
-    near = neighbours(edges).join(named, F.col("node_id") == F.col("slice_id")).select("slice_id", F.col("other").alias("node_id"))
+    named = settled(centers.select(F.col("node_id").alias("slice_id")).distinct())
+    ends = endpoints(edges.where("source <> target")).join(bounded(named, CENTERS), F.col("node_id") == F.col("slice_id"))
+    near = ends.select("slice_id", F.col("other").alias("node_id")).distinct()
     return near.unionByName(named.select("slice_id", F.col("slice_id").alias("node_id")))
 
 
+def _own(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """(slice_id, edge_id, source, target): edges between a slice's kept namesake and its other kept nodes, or itself."""
+    own = kept.where("slice_id = node_id").select("slice_id")
+    ends = edges.select(F.col("source").alias("slice_id"), F.col("target").alias("node_id"), "edge_id", "source", "target")
+    back = edges.where("source <> target").select(F.col("target").alias("slice_id"), F.col("source").alias("node_id"), "edge_id", "source", "target")
+    touching = ends.unionByName(back).join(bounded(own, CENTERS), "slice_id", "left_semi")
+    return touching.join(kept, ["slice_id", "node_id"], "left_semi").select("slice_id", "edge_id", "source", "target")
+
+
+def _between(edges: DataFrame, further: DataFrame) -> DataFrame:
+    """Edges whose ends are both further members of slices, not always of the same one."""
+    ids = settled(further.select("node_id").distinct())
+    for end in ("source", "target"):
+        edges = edges.join(bounded(ids.withColumnRenamed("node_id", end), CENTERS), end, "left_semi")
+    return settled(edges.select("edge_id", "source", "target"))
+
+
 def bounded_slices(members: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, *, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
     """The subgraphs that members (slice_id, node_id) induce, cut to size: edges (kind, slice_id, edge_id), and a row a slice.
 
     The row: (kind, slice_id, n_nodes, n_edges, warnings); nodes are those that the edges left show.
-    Members that are no nodes are left out; a slice without edges stays, with one node.
+    Members that are no nodes are left out; a slice without edges stays, with one node.  ``edges`` are
+    read several times: an aggregate should be written before.
     """
     rated = settled(_degrees(nodes.select("node_id", "label"), edges))
-    found = members.distinct().join(rated, "node_id")
+    found = settled(members.distinct().join(rated, "node_id"))
     sizes = found.groupBy("slice_id").agg(F.count("*").alias("_all"))
     kept = settled(_first(found, ["slice_id"], [F.col("degree").desc(), F.col("label"), F.col("node_id")], max_nodes).select("slice_id", "node_id"))
     degree = lambda end: rated.select(F.col("node_id").alias(end), F.col("degree").alias(f"d_{end}"))
     rank = lambda end: F.struct(F.col(f"d_{end}"), F.col(end))
-    ends = edges.select("edge_id", "source", "target").join(degree("source"), "source").join(degree("target"), "target")
+    further = kept.where("slice_id <> node_id")
+    ends = _between(edges, further).join(degree("source"), "source").join(degree("target"), "target")
     swap = rank("source") <= rank("target")
     oriented = ends.select("edge_id", "source", "target", F.when(swap, F.col("source")).otherwise(F.col("target")).alias("low"), F.when(swap, F.col("target")).otherwise(F.col("source")).alias("high"))
-    inside = oriented.join(kept.withColumnRenamed("node_id", "low"), "low").join(kept.withColumnRenamed("node_id", "high"), ["slice_id", "high"], "left_semi")
-    inside = settled(inside.select("slice_id", "edge_id", "source", "target"))
+    inside = oriented.join(further.withColumnRenamed("node_id", "low"), "low").join(further.withColumnRenamed("node_id", "high"), ["slice_id", "high"], "left_semi")
+    inside = settled(inside.select("slice_id", "edge_id", "source", "target").unionByName(_own(edges, kept)))
     counts = inside.groupBy("slice_id").agg(F.count("*").alias("_edges"))
     shown = settled(_first(inside, ["slice_id"], [F.col("edge_id")], max_edges).select(F.lit(kind).alias("kind"), "slice_id", "edge_id", "source", "target"))
     visible = shown.select("slice_id", F.explode(F.array("source", "target")).alias("n")).distinct().groupBy("slice_id").agg(F.count("*").alias("_nodes"))
