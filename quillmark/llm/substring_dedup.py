@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name, scratch, small_batches, written
+from .common import bounded, few, free_name, scratch, small_batches, written
 from .near import MinMax, finish, near_components
 from .shingles import WordHashes, shingle_hashes
 
@@ -229,10 +229,11 @@ def removals(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, spans) of what goes; spans: (start, length, group), group the component's class."""
     with scratch(texts.sparkSession) as kept:
         found = written(units(texts.where("doc_id IS NOT NULL")), "units")
-        lines = _gone_lines(texts, found.where(F.col("idx") < FIRST_RUN), percent)
-        runs = _gone_runs(found.where(F.col("idx") >= FIRST_RUN).drop("bands"), lines)
+        n = found.count()  # no table of what repeats or goes has more rows
+        lines = _gone_lines(texts, found.where(F.col("idx") < FIRST_RUN), percent, n)
+        runs = _gone_runs(found.where(F.col("idx") >= FIRST_RUN).drop("bands"), lines, n)
         both = lines.select("doc_id", "text_hash", "start", "length", "group").unionByName(_stretches(texts, runs))
-        kept.append(written(_spans(both, "start", "length", "group"), "removals"))
+        kept.append(written(few(_spans(both, "start", "length", "group"), n), "removals"))
     return kept[0]
 
 
@@ -241,14 +242,14 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cls").agg(F.min("rest").alias("rest"), F.count("*").alias("n"))
 
 
-def _others(rows: DataFrame) -> DataFrame:
+def _others(rows: DataFrame, n: int) -> DataFrame:
     """Occurrences (cls, group, place) but the first of each group, with the place of that ``first``."""
     place = F.struct(*UNIT_PLACE)
     firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
-    return rows.join(bounded(written(firsts, "keepers"), 300_000), "group").where(place != F.col("first"))
+    return rows.join(bounded(written(few(firsts, n), "keepers"), 300_000), "group").where(place != F.col("first"))
 
 
-def _gone_lines(texts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def _gone_lines(texts: DataFrame, lines: DataFrame, percent: int, n: int) -> DataFrame:
     """Paragraphs that go: all but the first of each component of equal or linked ones."""
 
     def sets_of(candidates: DataFrame) -> DataFrame:
@@ -257,21 +258,21 @@ def _gone_lines(texts: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
     comps = near_components(lines.select(F.col("cls").alias("node"), "bands"), sets_of, percent, repeated=True)
     chosen = _repeated(lines).join(comps.withColumnRenamed("node", "cls"), "cls", "left").where("n > 1 OR comp IS NOT NULL")
-    chosen = bounded(written(chosen.select("cls", "rest", F.coalesce("comp", "cls").alias("group")), "line-classes"))
+    chosen = bounded(written(few(chosen.select("cls", "rest", F.coalesce("comp", "cls").alias("group")), n), "line-classes"))
     rows = written(lines.drop("bands").join(chosen, ["cls", "rest"]).select("group", *UNIT_PLACE), "repeated-lines")
-    return written(_others(rows), "gone-lines")
+    return written(_others(rows, n), "gone-lines")
 
 
-def _gone_runs(runs: DataFrame, lines: DataFrame) -> DataFrame:
+def _gone_runs(runs: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     """Runs that go: all but the first of each class, of those that touch no paragraph that goes."""
-    chosen = bounded(written(_repeated(runs).where("n > 1").select("cls", "rest"), "run-classes"))
+    chosen = bounded(written(few(_repeated(runs).where("n > 1").select("cls", "rest"), n), "run-classes"))
     rows = written(runs.join(chosen, ["cls", "rest"]).select(F.col("cls").alias("group"), *UNIT_PLACE), "repeated-runs")
     spans = _spans(lines, "start", "length").withColumnRenamed("spans", "gone")
-    rows = rows.join(bounded(written(spans, "gone-places"), WIDE_ROWS), ["doc_id", "text_hash"], "left")
+    rows = rows.join(bounded(written(few(spans, n), "gone-places"), WIDE_ROWS), ["doc_id", "text_hash"], "left")
     end = F.col("start") + F.col("length")
     touched = F.exists("gone", lambda g: (g["start"] < end) & (g["start"] + g["length"] > F.col("start")))
     rows = written(rows.where(~F.coalesce(touched, F.lit(False))).drop("gone"), "standing-runs")
-    return written(_others(rows), "gone-runs")
+    return written(_others(rows, n), "gone-runs")
 
 
 def _stretches(texts: DataFrame, gone: DataFrame) -> DataFrame:

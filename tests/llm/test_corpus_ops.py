@@ -326,3 +326,20 @@ def test_texts_that_are_taken_together_keep_their_own_units():
     for h, w in zip(together.hash.tolist(), " ".join(texts).encode().lower().split(), strict=True):
         assert hashes.setdefault(w, h) == h
     assert len(set(hashes.values())) == len(hashes)
+
+
+def test_removals_come_in_few_files(spark):
+    """A small table of removals is no file a shuffle partition."""
+    line = " ".join(f"word{k}" for k in range(40))
+    rows = [(k, f"{line} {k % 30}\n{' '.join(f'w{k}x{j}' for j in range(60))}") for k in range(60)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        gone = substring_dedup.removals(texts)
+        assert gone.count() > 0
+        assert len(gone.inputFiles()) < 5
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
