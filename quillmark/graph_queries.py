@@ -10,6 +10,7 @@ from .operators import graph
 from .operators import graphquery as GQ
 from .oracles import G
 from .plans import model
+from .plans.session import settled
 from .service_queries import oracle
 
 TOP_K = 12
@@ -28,9 +29,9 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return model.graph_nodes(spark, d).withColumn("hint", hint)
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges; what a supplier sends once only is a generic relation."""
-    e = model.graph_edges(spark, d)
+def edges(spark: SparkSession, d: str, written: bool = False) -> DataFrame:
+    """Edges; what a supplier sends once only is a generic relation.  ``written``: for a query that reads them several times."""
+    e = model.graph_edges(spark, d, settled(model.sent_parts(spark, d)) if written else None)
     once = (F.col("relation_type") == "supplies") & (F.col("evidence_count") == 1)
     return e.withColumn("relation_type", F.when(once, "related_to_generic").otherwise(F.col("relation_type")))
 
@@ -83,27 +84,25 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(n.select(k.alias("query_id"), F.lit(1).alias("ref_no"), F.concat(F.lit("supplier:"), k * 3 + 1).alias("ref")))
 
 
-def _branches(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    q, n, e = questions(spark, d), nodes(spark, d), edges(spark, d)
-    seeds = GQ.seed_branch(q, n)
-    anchors = GQ.anchor_branch(_refs(spark, d), n, e, 2 * TOP_K)
+def _near(spark: SparkSession, d: str, n: DataFrame, e: DataFrame) -> dict[str, DataFrame]:
+    """The branches that start at nodes."""
+    q = questions(spark, d)
+    seeds = settled(GQ.seed_branch(q, n))
+    anchors = settled(GQ.anchor_branch(_refs(spark, d), n, e, 2 * TOP_K))
     found = seeds.select("query_id", "unit_id").unionByName(anchors.select("query_id", "unit_id")).where("unit_id LIKE 'node:%'")
     found = found.select("query_id", F.substring("unit_id", 6, 1000).alias("node_id"))
-    return {
-        "bm25": GQ.bm25_branch(q, GQ.units(n, e), 3 * TOP_K),
-        "seed": seeds,
-        "anchor": anchors,
-        "near": GQ.neighbourhood_branch(q, found, n, e, 3 * TOP_K),
-    }
+    return {"seed": seeds, "anchor": anchors, "near": GQ.neighbourhood_branch(q, found, n, e, 3 * TOP_K)}
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    pool = GQ.fused(list(_branches(spark, d).values()), 3 * TOP_K)
-    return GQ.rerank(pool, questions(spark, d), GQ.units(nodes(spark, d), edges(spark, d)))
+def _pool(spark: SparkSession, d: str, n: DataFrame | None = None, e: DataFrame | None = None) -> DataFrame:
+    q, n, e = questions(spark, d), n or nodes(spark, d), e or edges(spark, d, written=True)
+    branches = [GQ.graph_bm25_branch(q, n, e, 3 * TOP_K), *_near(spark, d, n, e).values()]
+    pool = settled(GQ.fused(branches, 3 * TOP_K))
+    return GQ.rerank(pool, q, GQ.units_of(pool, n, e))
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    return GQ.top_items(_pool(spark, d), "rerank_score", TOP_K)
+def _items(spark: SparkSession, d: str, n: DataFrame | None = None, e: DataFrame | None = None) -> DataFrame:
+    return GQ.top_items(_pool(spark, d, n, e), "rerank_score", TOP_K)
 
 
 @oracle(f"WITH {_SQL} SELECT unit_id, kind, object_id, md5(text) AS text_md5, n_refs, generic, weak FROM un")
@@ -113,7 +112,7 @@ def graph_units(spark: SparkSession, d: str) -> DataFrame:
 
 @oracle(f"WITH {_SQL} SELECT * FROM bm")
 def graph_bm25_branch(spark: SparkSession, d: str) -> DataFrame:
-    return GQ.bm25_branch(questions(spark, d), GQ.units(nodes(spark, d), edges(spark, d)), 3 * TOP_K)
+    return GQ.graph_bm25_branch(questions(spark, d), nodes(spark, d), edges(spark, d, written=True), 3 * TOP_K)
 
 
 @oracle(f"WITH {_SQL} SELECT query_id, array_to_string(ts, '|') AS terms FROM st")
@@ -133,7 +132,7 @@ def graph_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @oracle(f"WITH {_SQL} SELECT * FROM nb")
 def neighbourhood_score(spark: SparkSession, d: str) -> DataFrame:
-    return _branches(spark, d)["near"]
+    return _near(spark, d, nodes(spark, d), edges(spark, d, written=True))["near"]
 
 
 @oracle(f"WITH {_SQL} SELECT query_id, unit_id, rrf_score, branch_count, branches, rerank_score FROM pr")
@@ -165,7 +164,8 @@ def graph_answer_buckets(spark: SparkSession, d: str) -> DataFrame:
 @oracle(f"""WITH {_SQL}, f AS (SELECT query_id, unnest([a.label, relation_type, b.label]) AS term FROM it JOIN ge ON edge_id = object_id JOIN nodes a ON a.node_id = source JOIN nodes b ON b.node_id = target WHERE kind = 'edge')
 SELECT * FROM (SELECT query_id, term, count(*) AS n FROM f WHERE term <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) <= 12""")
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return GQ.expansion_terms(_items(spark, d), nodes(spark, d), edges(spark, d))
+    n, e = nodes(spark, d), edges(spark, d, written=True)
+    return GQ.expansion_terms(_items(spark, d, n, e), n, e)
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:

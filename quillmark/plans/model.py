@@ -56,8 +56,16 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(edge_id, source, target, relation_type, evidence_count): part_of, located_in, supplies."""
+def sent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, l_partkey, evidence_count): which parts a supplier sends, in how many lines."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("evidence_count"))
+
+
+def graph_edges(spark: SparkSession, sf_dir: str, sent: DataFrame | None = None) -> DataFrame:
+    """(edge_id, source, target, relation_type, evidence_count): part_of, located_in, supplies.
+
+    ``sent``: ``sent_parts`` as written by a caller that reads the edges several times.
+    """
     ref = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key))
     nation = table(spark, sf_dir, "nation").select(
         ref("nation", "n_nationkey").alias("source"), ref("region", "n_regionkey").alias("target"), F.lit("part_of").alias("relation_type"), F.lit(1).cast("long").alias("evidence_count")
@@ -68,12 +76,8 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for name, key, home in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey"))
     ]
-    supplies = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_suppkey", "l_partkey")
-        .agg(F.count("*").alias("evidence_count"))
-        .select(ref("supplier", "l_suppkey").alias("source"), ref("part", "l_partkey").alias("target"), F.lit("supplies").alias("relation_type"), "evidence_count")
-    )
+    sent = sent_parts(spark, sf_dir) if sent is None else sent
+    supplies = sent.select(ref("supplier", "l_suppkey").alias("source"), ref("part", "l_partkey").alias("target"), F.lit("supplies").alias("relation_type"), "evidence_count")
     both = nation.unionByName(homes[0]).unionByName(homes[1]).unionByName(supplies)
     return both.withColumn("edge_id", F.concat_ws("|", "source", "relation_type", "target"))
 
